@@ -9,8 +9,8 @@ the smallest id stays. The plan never brings a hot group into one task:
 3. *global*: at most ``salts`` winners of a digest meet by digest.
 
 Every stage has the normalised text itself among its grouping keys: equal digests of
-different texts stay apart. Only texts that some other row might equal travel: a count of
-digests, which has narrow rows, comes first and rules the others out.
+different texts stay apart. A count of digests, which has narrow rows, comes first; through
+a bit filter of bounded size it keeps most texts that no other equals out of the exchanges.
 """
 
 from __future__ import annotations
@@ -27,6 +27,21 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def _may_be_in(rows: DataFrame, digests: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """rows whose _digest is in digests, and few others.
+
+    Through a filter of one hash and `bits` bits, in pages of 4 KB, that is broadcast: 4 MB
+    at most, whatever the input. Where it fills up, more rows go on; none is lost.
+    """
+    place = F.pmod(F.xxhash64("_digest"), F.lit(bits))
+    at = digests.select(place.alias("_at"))
+    pages = at.groupBy(F.expr("bitmap_bucket_number(_at)").alias("_page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits"))
+    placed = rows.withColumn("_at", place).withColumn("_page", F.expr("bitmap_bucket_number(_at)"))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(bitmap_bit_position(_at) % 8 as int)")
+    return placed.join(F.broadcast(pages), "_page").where(F.getbit(byte, bit) == 1).select(*rows.columns)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex, salts: int = 16) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept.
 
@@ -43,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest = F.min("_id").alias("_id")
     repeated = narrow.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
 
-    local = rows.join(repeated, "_digest", "left_semi").withColumn("_salt", F.spark_partition_id() % salts)
+    local = _may_be_in(rows, repeated).withColumn("_salt", F.spark_partition_id() % salts)
     salted = local.groupBy("_digest", "_salt", "_text").agg(smallest, F.count(F.lit(1)).alias("_n"))
     winners = salted.repartition("_digest").groupBy("_digest", "_text").agg(smallest, F.sum("_n").alias("_n"))
     # Different texts under one digest are kept apart by their text; there are none under a sound digest.
