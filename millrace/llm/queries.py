@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, packing, simhash, toxicity
+from millrace.llm import exact_dedup, packing, quality, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -38,8 +43,40 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w),
+g3 AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM g),
+rep AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+trimmed AS (
+    SELECT doc_id, line, trim(line, ' ') AS t, len(list_filter(regexp_split_to_array(trim(line, ' '), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+        length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid FROM lines),
+judged AS (
+    SELECT doc_id, line, solid, length(t) > 0 AND (
+        (n BETWEEN 4 AND 20 AND NOT contains('ENDINGS', right(t, 1)))
+        OR (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) * 10 > length(t)
+        OR (length(t) - length(replace(t, '!', ''))) * 3 > n + 3
+        OR (length(t) - length(regexp_replace(t, '[|»›•·]', '', 'g'))) * 4 > n
+        OR (regexp_matches(lower(t), 'BOILERPLATE') AND n <= 12)) AS fails
+    FROM trimmed),
+by_line AS (
+    SELECT doc_id, sum(CASE WHEN fails THEN solid ELSE 0 END)::BIGINT AS lost_chars, sum(solid)::BIGINT AS word_chars,
+        count(*) FILTER (solid > 0) - count(DISTINCT line) FILTER (solid > 0) AS n_dup_lines FROM judged GROUP BY doc_id),
+f AS (
+    SELECT w.doc_id, len(w.w)::BIGINT AS n_words, l.word_chars, (length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        l.n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, l.lost_chars
+    FROM w JOIN by_line l USING (doc_id) LEFT JOIN covered c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * word_chars AS kept
+FROM f
+""".replace("ENDINGS", quality.ENDINGS.replace("'", "''")).replace("BOILERPLATE", "|".join(quality.BOILERPLATE))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
     "op10_toxicity": op10_toxicity,
@@ -47,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
 }
