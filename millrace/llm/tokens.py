@@ -8,6 +8,8 @@ spaces, one after another. Stretches repeat; their ids are kept, in a bounded ca
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import os
 import re
 from array import array
@@ -34,14 +36,20 @@ class WordBpe:
     times as many others have come, collecting starts anew. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.missed = limit, 0
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # of stretches with a space before them
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        collecting = gc.isenabled()
+        gc.disable()  # what is made here holds no cycles
+        try:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """One result per text, in order; b"" for null and empty texts."""
@@ -62,28 +70,30 @@ class WordBpe:
             else:
                 split.append(text.split(" "))
         heads = self._direct([x[0] for x in split])  # the only stretches without a space before them
-        ids, missing = self.kept, set()
+        get = self.kept.get
+        found, gaps = [], []
         for x in split:
-            del x[0]
-            missing.update(set(x).difference(ids))
-        if missing:
-            fresh = dict(zip(missing, self._direct([f" {x}" for x in missing]), strict=True))
-            self.missed += len(fresh)
-            if self.missed > 10 * self.limit:
-                self.kept, self.missed = {}, 0
-                ids = {**ids, **fresh}
-            elif len(ids) + len(fresh) <= self.limit and all(len(x) <= _KEPT_CHARS for x in missing):
-                ids.update(fresh)
-            else:
-                room = max(0, self.limit - len(ids))
-                keep = [x for x in missing if len(x) <= _KEPT_CHARS][:room]
-                ids.update((x, fresh.pop(x)) for x in keep)
-                get = ids.get
-                for head, x in zip(heads, split, strict=True):
-                    yield head + b"".join([get(w) or fresh[w] for w in x])
-                return
-        for head, x in zip(heads, split, strict=True):
-            yield head + b"".join(map(ids.__getitem__, x))
+            x[0] = ""
+            ids = list(map(get, x))
+            found.append(ids)
+            gaps.append([k for k, v in enumerate(ids) if v is None] if None in ids else [])
+        missing = list({x[k] for x, at in zip(split, gaps, strict=True) for k in at})
+        fresh = dict(zip(missing, self._direct([f" {x}" for x in missing]), strict=True)) if missing else {}
+        for head, x, ids, at in zip(heads, split, found, gaps, strict=True):
+            for k in at:
+                ids[k] = fresh[x[k]]
+            ids[0] = head
+            yield b"".join(ids)
+        self._keep(fresh)
+
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        self.missed += len(fresh)
+        if self.missed > 10 * self.limit:
+            self.kept, self.missed = {}, 0
+        room = self.limit - len(self.kept)
+        if len(fresh) > room or any(len(x) > _KEPT_CHARS for x in fresh):
+            fresh = dict(itertools.islice(((k, v) for k, v in fresh.items() if len(k) <= _KEPT_CHARS), max(0, room)))
+        self.kept.update(fresh)
 
 
 @functools.cache
