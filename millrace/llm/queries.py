@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, html_text, packing, quality, simhash, toxicity
+from millrace.llm import exact_dedup, html_text, licenses, packing, quality, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -34,6 +34,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("matches")
+    return licenses.licenses(table(spark, sf_dir, "documents"), threshold=0.8).select(
+        "doc_id",
+        F.size(m).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(m["license"])), ",").alias("licenses"),
+        F.coalesce(F.array_max(m["dice"]), F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -78,16 +88,33 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM f
 """.replace("ENDINGS", quality.ENDINGS.replace("'", "''")).replace("BOILERPLATE", "|".join(quality.BOILERPLATE))
 
+OP9_SQL = r"""
+WITH t(license, grams) AS (VALUES TEMPLATES),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+    SELECT r, unnest(string_split(text, chr(10))) AS passage FROM d
+    UNION SELECT r, passage FROM (SELECT r, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) AS passage FROM d) WHERE contains(passage, chr(10))),
+w AS (SELECT DISTINCT r, passage, string_split(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM split),
+g AS (SELECT r, passage, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM w),
+dice AS (
+    SELECT r, passage, license, max(round(2 * len(list_intersect(g, grams)) / (len(g) + len(grams)), 6)) AS dice FROM g, t
+    WHERE list_has_any(g, grams) GROUP BY r, passage, license),
+m AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS best FROM dice WHERE dice >= 0.8 GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licenses, coalesce(best, 0.0)::DOUBLE AS best_dice FROM d LEFT JOIN m USING (r)
+""".replace("TEMPLATES", ", ".join(f"('{name}', {licenses.bigrams_of(text)})" for name, text in licenses.TEMPLATES))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
+    "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op9_license_scan": OP9_SQL,
 }
