@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, html_text, licenses, packing, quality, simhash, toxicity
+from millrace.llm import exact_dedup, html_text, licenses, packing, quality, secret_scan, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -34,6 +34,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(F.transform("secrets", lambda s: F.sha2(F.encode(s, "UTF-8"), 256)), ",").alias("secret_sha256"),
+        F.sha2(F.encode(F.coalesce("redacted", F.lit("")), "UTF-8"), 256).alias("redacted_sha256"),
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("matches")
     return licenses.licenses(table(spark, sf_dir, "documents"), threshold=0.8).select(
@@ -109,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
+    "op7_secret_scan": op7_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
