@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, html_text, licenses, packing, quality, secret_scan, simhash, toxicity
+from millrace.llm import exact_dedup, html_text, licenses, packing, piece_sampling, quality, secret_scan, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=0)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_secret_scan": op7_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
