@@ -7,6 +7,7 @@ spaces, one after another. Stretches repeat; their ids are kept, in a bounded ca
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import itertools
@@ -19,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 from tokenizers import Tokenizer  # noqa: E402
 
 #: White space beside a plain space: such texts are split with more care.
-_WIDE = re.compile(r" \s|\s ")
+_WIDE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Stretches longer than this are not kept.
 _KEPT_CHARS = 64
@@ -76,7 +77,13 @@ class WordBpe:
             x[0] = ""
             ids = list(map(get, x))
             found.append(ids)
-            gaps.append([k for k, v in enumerate(ids) if v is None] if None in ids else [])
+            at = []
+            with contextlib.suppress(ValueError):
+                k = 0
+                while True:
+                    k = ids.index(None, k) + 1
+                    at.append(k - 1)
+            gaps.append(at)
         missing = list({x[k] for x, at in zip(split, gaps, strict=True) for k in at})
         fresh = dict(zip(missing, self._direct([f" {x}" for x in missing]), strict=True)) if missing else {}
         for head, x, ids, at in zip(heads, split, found, gaps, strict=True):
