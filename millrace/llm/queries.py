@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, html_text, licenses, packing, piece_sampling, quality, secret_scan, simhash, toxicity
+from millrace.llm import exact_dedup, html_text, licenses, packing, piece_sampling, quality, secret_scan, simhash, token_files, toxicity
 from millrace.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("matches")
     return licenses.licenses(table(spark, sf_dir, "documents"), threshold=0.8).select(
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_piece_sampling": op6_piece_sampling,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_files": op8_token_files,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
