@@ -72,7 +72,7 @@ def _feature_columns(value: Column, word: Column, near: Column) -> list[Column]:
         F.length(value).cast("double"),
         (F.size(F.regexp_extract_all(value, F.lit("([a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+)"), F.lit(1))) - 1) / n,
         kept("[^0-9]") / n,
-        F.size(F.array_distinct(F.split(value, "(?!^)"))) / n,
+        F.size(F.array_distinct(F.regexp_extract_all(value, F.lit("(?s)(.)"), F.lit(1)))) / n,
         (F.length(value) - left) / n,
         flag(word.rlike(_PATH)),
         flag(near.rlike(rf"(?i)(?<![A-Za-z])(?:{_NAMES})(?![A-Za-z])")),
