@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 _SPACE = "▁"  # how pieces write a space
 _NOT_A_PIECE = "\x00"  # stands for a text's own U+2581, which only byte pieces may encode
 _UNITS = re.compile(" *[^ ]+| +")
-_AT_ONCE = 400_000
+_AT_ONCE = 1_500_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,18 +46,18 @@ class PieceSampler:
     collecting starts anew after as many again were dropped.
     """
 
-    def __init__(self, path: str, alpha: float = 0.001, limit: int = 8_000_000) -> None:
+    def __init__(self, path: str, alpha: float = 0.001, limit: int = 16_000_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         special = {i for i in range(n) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.ids = {model.id_to_piece(i): (i, alpha * max(model.get_score(i), -n)) for i in range(n) if i not in special}
+        self.ids = {model.id_to_piece(i): (i, math.exp(alpha * max(model.get_score(i), -n))) for i in range(n) if i not in special}
         self.longest = max(map(len, self.ids))
-        self.begins = {x[:k] for x in self.ids for k in range(1, len(x) + 1)}
+        self.begins = {x[:k]: None for x in self.ids for k in range(1, len(x))} | self.ids  # None: a piece only begins so
         self.joined = {x[k : k + 2].replace(_SPACE, " ") for x in self.ids for k in range(len(x) - 1)}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         if len(self.bytes) < 256 or (_SPACE not in self.ids):
             raise ValueError(f"{path} can't encode every text: it lacks byte pieces or the space")
-        self.byte_weight = -alpha * n
+        self.byte_weight = math.exp(-alpha * n)
         # What each piece decodes to; control pieces to nothing.
         self.decoded = [b"" if i in special else model.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(n)]
         for b, i in self.bytes.items():
@@ -91,10 +91,10 @@ class PieceSampler:
     def _add(self, unit: str) -> int:
         """The node at the end of the unit's lattice, after filtering forward."""
         text = unit.replace(_SPACE, _NOT_A_PIECE).replace(" ", _SPACE)
-        n, ids, begins = len(text), self.ids, self.begins
+        n, begins = len(text), self.begins.get
         base = len(self.edge_start)
         into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-        total, exp = [1.0] + [0.0] * n, math.exp
+        total = [1.0] + [0.0] * n
         for i in range(n):
             at = total[i]
             if at < 1e-150:  # long units: only ratios at one place count, so what is open is scaled up
@@ -102,19 +102,19 @@ class PieceSampler:
                     total[j] *= 1e150
                     into[j] = [(w * 1e150, k, p) for w, k, p in into[j]]
                 at = total[i]
-            whole = False
+            alone = False
             for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if found := ids.get(part):
-                    w = at * exp(found[1])
+                found = begins(text[i:j], 0)
+                if found:
+                    w = at * found[1]
                     into[j].append((w, i, found[0]))
                     total[j] += w
-                    whole = whole or j == i + 1
-                elif part not in begins:
+                    alone = alone or j == i + 1
+                elif found == 0:
                     break
-            if not whole:
+            if not alone:
                 raw = [self.bytes[b] for b in unit[i].encode("utf-8", "surrogatepass")]
-                w = at * exp(self.byte_weight * len(raw))
+                w = at * self.byte_weight ** len(raw)
                 into[i + 1].append((w, i, -1 - len(self.runs)))
                 total[i + 1] += w
                 self.runs.append(raw)
@@ -167,7 +167,8 @@ class PieceSampler:
         key = _mix((np.array([k & (2**64 - 1) for k in keys], np.uint64) + np.uint64(seed)) * _GOLDEN)
         number = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
         state = _mix(np.repeat(key, n) + number * _GOLDEN)
-        live = np.arange(len(node), dtype=np.int32)
+        live = np.argsort(node, kind="stable")  # equal units side by side: look-ups stay in the cache
+        node, state = node[live], state[live]
         lengths = np.zeros(len(node), np.int32)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         with np.errstate(over="ignore"):
