@@ -44,6 +44,22 @@ def message_lag(committed: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.join(sums, ["topic", "cut"]).select("group", "topic", "message_lag")
 
 
+def active_members(leases: DataFrame) -> DataFrame:
+    """Consumers that hold a lease, and leases, of each group and topic."""
+    return leases.groupBy("group", "topic").agg(F.countDistinct("consumer").alias("members"), F.count(F.lit(1)).alias("leases"))
+
+
+def fetch_committed(wanted: DataFrame, committed: DataFrame) -> DataFrame:
+    """wanted (group, topic) with the committed offset; -1 where there is none."""
+    return wanted.join(committed, ["group", "topic"], "left").withColumn("committed", F.coalesce("committed", F.lit(-1)))
+
+
+def seek_time(committed: DataFrame, positions: DataFrame) -> DataFrame:
+    """committed after groups (positions: group, topic, position) moved to where a time was found; others stay."""
+    moved = committed.join(positions, ["group", "topic"], "full")
+    return moved.select("group", "topic", F.coalesce("position", "committed").alias("committed"))
+
+
 def consumer_groups(lags: DataFrame) -> DataFrame:
     """One row a group: its topics as an array of (topic, head, committed, lag, members), by topic."""
     return lags.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("topic", "head", "committed", "lag", "members"))).alias("topics"))

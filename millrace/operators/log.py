@@ -146,6 +146,38 @@ def batch_verdicts(batches: DataFrame, batch: str, payload: str, most: int = MAX
     return sums.withColumn("accepted", (F.col("n_entries") > 0) & (F.col("n_entries") <= most) & (F.col("n_bytes") <= most_bytes))
 
 
+def start_positions(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Where subscriptions (topic, start, value, committed) begin to read.
+
+    start is earliest, offset (value), time (the first offset at or after value ms; none: the head's next)
+    or committed (earliest where committed is null or negative). A seek by time needs each
+    topic's offsets and times, so messages meet the few subscriptions of their topic.
+    """
+    timed = subscriptions.where("start = 'time'").select("topic", F.col("value").alias("_at")).distinct()
+    found = messages.select("topic", "offset", "timestamp").join(F.broadcast(timed), "topic").where(F.col("timestamp") >= F.col("_at"))
+    found = found.groupBy("topic", F.col("_at").alias("value")).agg(F.min("offset").alias("_found"))
+    out = subscriptions.join(found, ["topic", "value"], "left").join(heads(messages), "topic", "left")
+    position = (
+        F.when(F.col("start") == "offset", F.col("value"))
+        .when(F.col("start") == "time", F.coalesce("_found", F.coalesce("head", F.lit(-1)) + 1))
+        .when(F.col("start") == "committed", F.greatest(F.lit(0), F.coalesce("committed", F.lit(0))))
+        .otherwise(0)
+    )
+    return out.select("topic", "start", "value", "committed", position.cast("long").alias("position"))
+
+
+def auto_commit(polled: DataFrame, group: str) -> DataFrame:
+    """The offsets that a poll commits: of each topic the last one it returned, plus 1."""
+    return polled.groupBy("topic").agg((F.max("offset") + 1).alias("committed")).select(F.lit(group).alias("group"), "topic", "committed")
+
+
+def gauges(messages: DataFrame, segments: DataFrame) -> DataFrame:
+    """One row: topics, messages, the next offset, open segments and their bytes."""
+    log_part = messages.agg(F.countDistinct("topic").alias("topics"), F.count(F.lit(1)).alias("n_messages"), F.coalesce(F.max("offset") + 1, F.lit(0)).cast("long").alias("next_offset"))
+    disk_part = segments.agg(F.count(F.lit(1)).alias("open_segments"), F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long").alias("segment_bytes"))
+    return log_part.withColumn("_k", F.lit(0)).join(disk_part.withColumn("_k", F.lit(0)), "_k").drop("_k")  # one row each
+
+
 def append(spark: SparkSession, entries: DataFrame, path: str, order: list[str], stored_at_ms: int) -> int:
     """Entries (topic, payload, key, timestamp) get the next offsets and go to the log at path; how many there were.
 

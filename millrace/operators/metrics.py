@@ -124,3 +124,18 @@ def resample(series: DataFrame, values: str, n: int) -> DataFrame:
 def frame(metrics: DataFrame) -> DataFrame:
     """One row of JSON a row of metrics, as a dashboard takes it."""
     return metrics.select(F.to_json(F.struct(*[F.col(c) for c in metrics.columns])).alias("frame"))
+
+
+def zip_histories(produced: DataFrame, consumed: DataFrame, by: list[str], tick: str = "tick") -> DataFrame:
+    """Two series (n at each tick) side by side, by their place from the newest tick on; a place that produced lacks is what consumed leaves of total."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(tick)))
+    left = produced.withColumn("place", place).select(*by, "place", F.col("n").alias("produced"))
+    right = consumed.withColumn("place", place).select(*by, "place", F.col("n").alias("consumed"), F.col("total").alias("_total"))
+    rest = F.greatest(F.lit(0), F.col("_total") - F.col("consumed"))
+    return right.join(left, [*by, "place"], "left").select(*by, "place", F.coalesce("produced", rest).cast("long").alias("produced"), "consumed")
+
+
+def worst_mean(requests: DataFrame, kinds: tuple[str, ...], value: str = "value") -> DataFrame:
+    """One row: the greatest mean latency of some types, 0 without samples."""
+    means = mean_latency(requests.where(F.col("type").isin(*kinds)), value)
+    return means.agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("worst_mean"))

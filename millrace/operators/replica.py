@@ -61,6 +61,11 @@ def merge_nodes(reports: DataFrame) -> DataFrame:
     return best.select("node_id", F.when(stale, "FOLLOWER").otherwise(F.col("_best.state")).alias("state"), F.col("_best.term").alias("term"), F.coalesce("_told", "_own").alias("lag"))
 
 
+def reachable_followers(nodes: DataFrame) -> DataFrame:
+    """Nodes other than leaders whose lag isn't negative; an unknown lag counts as reachable."""
+    return nodes.where((F.col("state") != "LEADER") & F.coalesce(F.col("lag") >= 0, F.lit(True)))
+
+
 def compaction_bound(nodes: DataFrame, threshold: int) -> DataFrame:
     """nodes (leader, applied, match_index) to the index that the leader's log may be cut at: what followers lack stays, within 2 thresholds."""
     bounds = nodes.groupBy("leader").agg(F.max("applied").alias("applied"), F.min("match_index").alias("least"))

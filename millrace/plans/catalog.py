@@ -640,6 +640,89 @@ def stale_proposals(spark, d):
     return replica.stale_proposals(messages(spark, d).select(F.col("offset").alias("index"), F.col("timestamp").alias("proposed_ms")), F.lit(_SINCE)).select("index")
 
 
+# More of the reads, groups, telemetry and replicas.
+
+
+@query("head_map", "SELECT topic, head FROM heads")
+def head_map(spark, d):
+    return log.head_map(messages(spark, d)).select(F.explode("heads").alias("topic", "head"))
+
+
+@query("start_positions", f""",
+s(topic, start, value, committed) AS (VALUES ('click', 'earliest', 0, 7), ('click', 'time', {_SINCE}, 7), ('view', 'time', 9999999999999, 7), ('view', 'committed', 0, 70), ('error', 'committed', 0, -1), ('error', 'offset', 33, -1))
+SELECT s.topic, s.start, s.value, CAST(s.committed AS BIGINT) AS committed, CAST(CASE start WHEN 'offset' THEN s.value WHEN 'committed' THEN greatest(0, committed)
+    WHEN 'time' THEN coalesce((SELECT min("offset") FROM messages m WHERE m.topic = s.topic AND m."timestamp" >= s.value), (SELECT head + 1 FROM heads h WHERE h.topic = s.topic)) ELSE 0 END AS BIGINT) AS position FROM s""")
+def start_positions(spark, d):
+    rows = [("click", "earliest", 0, 7), ("click", "time", _SINCE, 7), ("view", "time", 9_999_999_999_999, 7), ("view", "committed", 0, 70), ("error", "committed", 0, -1), ("error", "offset", 33, -1)]
+    return log.start_positions(messages(spark, d), spark.createDataFrame(rows, "topic string, start string, value long, committed long"))
+
+
+@query("auto_commit", """SELECT 'g9' AS "group", topic, max("offset") + 1 AS committed FROM (SELECT * FROM messages WHERE topic IN ('click', 'view') QUALIFY row_number() OVER (PARTITION BY topic ORDER BY "offset") <= 40) GROUP BY topic""")
+def auto_commit(spark, d):
+    return log.auto_commit(log.poll(messages(spark, d), {"click": 0, "view": 0}, 40), "g9")
+
+
+@query("gauges", """SELECT count(DISTINCT topic) AS topics, count(*) AS n_messages, max("offset") + 1 AS next_offset, (SELECT count(*) FROM seg) AS open_segments, (SELECT CAST(sum(n_bytes) AS BIGINT) FROM seg) AS segment_bytes FROM messages""")
+def gauges(spark, d):
+    return log.gauges(messages(spark, d), _segments(spark, d))
+
+
+@query("open_segments", "SELECT topic, count(*) AS segments, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM seg GROUP BY topic")
+def open_segments(spark, d):
+    return _segments(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("segments"), F.sum("n_bytes").cast("long").alias("n_bytes"))
+
+
+@query("active_members", """SELECT 'g' || (user_id % 4) AS "group", topic, count(DISTINCT user_id) AS members, count(*) AS leases FROM messages GROUP BY 1, 2""")
+def active_members(spark, d):
+    leases = messages(spark, d).select(F.concat(F.lit("g"), F.col("key").cast("long") % 4).alias("group"), "topic", F.col("key").alias("consumer"))
+    return groups.active_members(leases)
+
+
+@query("fetch_committed", """SELECT w."group", w.topic, coalesce(committed, -1) AS committed FROM (SELECT 'g' || k AS "group", topic FROM heads, (SELECT unnest(range(1, 7)) AS k)) w LEFT JOIN groups g ON g."group" = w."group" AND g.topic = w.topic""")
+def fetch_committed(spark, d):
+    wanted = log.heads(messages(spark, d)).select(F.explode(F.array(*[F.lit(f"g{k}") for k in range(1, 7)])).alias("group"), "topic")
+    return groups.fetch_committed(wanted, _committed(spark, d))
+
+
+@query("group_seek_time", f"""SELECT g."group", g.topic, CASE WHEN k < 2 THEN coalesce((SELECT min("offset") FROM messages m WHERE m.topic = g.topic AND "timestamp" >= {_SINCE}), -1) ELSE committed END AS committed FROM groups g""")
+def group_seek_time(spark, d):
+    found = log.seek_time(messages(spark, d), F.lit(_SINCE))
+    moved = _committed(spark, d).where("group in ('g0', 'g1')").join(found, "topic").select("group", "topic", F.col("offset").alias("position"))
+    return groups.seek_time(_committed(spark, d), moved)
+
+
+@query("zip_histories", _TICKS + """,
+p AS (SELECT topic, n, row_number() OVER (PARTITION BY topic ORDER BY tick DESC) AS place FROM ticks WHERE n > 1),
+c AS (SELECT topic, n, total, row_number() OVER (PARTITION BY topic ORDER BY tick DESC) AS place FROM ticks)
+SELECT c.topic, c.place, CAST(coalesce(p.n, greatest(0, c.total - c.n)) AS BIGINT) AS produced, c.n AS consumed FROM c LEFT JOIN p ON p.topic = c.topic AND p.place = c.place""")
+def zip_histories(spark, d):
+    ticks = _ticks(spark, d)
+    return metrics.zip_histories(ticks.where("n > 1"), ticks, ["topic"])
+
+
+@query("worst_mean", "SELECT max(mean) AS worst_mean FROM (SELECT round(avg(value), 4) AS mean FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type)", plain=True)
+def worst_mean(spark, d):
+    return metrics.worst_mean(_requests(spark, d), ("click", "view"))
+
+
+@query("topics_json", """SELECT '{"topic":"' || topic || '","messages":' || count(*) || ',"head":' || max("offset") || '}' AS frame FROM messages GROUP BY topic""")
+def topics_json(spark, d):
+    m = messages(spark, d)
+    return metrics.frame(log.topic_counts(m).join(log.heads(m), "topic").select("topic", F.col("n_messages").alias("messages"), "head"))
+
+
+@query("reachable_followers", "SELECT node_id FROM (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'LEADER' ELSE 'FOLLOWER' END AS state, node_id % 4 - 1 AS lag FROM replicas) WHERE state <> 'LEADER' AND lag >= 0")
+def reachable_followers(spark, d):
+    n = F.col("node_id")
+    nodes = _replicas(spark, d).select("node_id", F.when(n % 5 == 0, "LEADER").otherwise("FOLLOWER").alias("state"), (n % 4 - 1).alias("lag"))
+    return replica.reachable_followers(nodes).select("node_id")
+
+
+@query("replica_bands", "SELECT node_id, CASE WHEN node_id % 14 - 1 < 0 THEN 'offline' WHEN node_id % 14 - 1 > 10 THEN 'warn' ELSE 'ok' END AS band FROM replicas")
+def replica_bands(spark, d):
+    return _replicas(spark, d).select("node_id", S.replica_band(F.col("node_id") % 14 - 1).alias("band"))
+
+
 # 9. Streams: each reads all input there is, through a checkpoint in the shared folder.
 
 
