@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
-from millrace.operators.segments import _in_order
+from millrace.operators.log import number_within
+from millrace.operators.segments import _in_order, floor_segment
 from millrace.schema import DLQ_PREFIX, LEASE_MS, MAX_DELIVERIES
+from millrace.storage import durable
 
 
 def lag_of(head: Column, committed: Column) -> Column:
@@ -67,8 +69,8 @@ def consumer_groups(lags: DataFrame) -> DataFrame:
 
 def dispatch_chunks(messages: DataFrame, n: int) -> DataFrame:
     """Consecutive disjoint chunks (topic, chunk, from_offset, to_offset, n_messages) of at most n messages; to_offset is exclusive."""
-    nth = F.row_number().over(Window.partitionBy("topic").orderBy("offset")) - 1
-    chunked = messages.select("topic", "offset", F.floor(nth / n).cast("long").alias("chunk"))
+    numbered = number_within(messages.select("topic", "offset"), ["topic"], ["offset"])
+    chunked = numbered.select("topic", "offset", F.floor(F.col("nth") / n).cast("long").alias("chunk"))
     return chunked.groupBy("topic", "chunk").agg(F.min("offset").alias("from_offset"), (F.max("offset") + 1).alias("to_offset"), F.count(F.lit(1)).alias("n_messages"))
 
 
@@ -209,15 +211,42 @@ class GroupFold:
 REPLAY = "seq long, group string, topic string, op string, delivered_from long, delivered_to long, delivered_n long, committed long, dispatch long, routed_to_dlq array<long>"
 
 
+def reachable_offsets(commands: DataFrame, messages: DataFrame, bucket: int = 4096) -> DataFrame:
+    """group, topic, offsets: the offsets of messages that the commands of a group can ever deliver, ascending.
+
+    A group moves on from 0, from an offset it committed before it first acquired, or from
+    a rejected one; and no further than all its acquires take together. What it may reach is a
+    few ranges of message numbers, found without gathering a topic's offsets.
+    """
+    keys = ["group", "topic"]
+    begun = F.min(F.when(F.col("op") == "acquire", F.col("seq"))).over(Window.partitionBy(*keys))
+    marked = commands.withColumn("_begun", begun)
+    takes = commands.groupBy(*keys).agg(F.sum(F.when(F.col("op") == "acquire", F.greatest(F.lit(0), F.col("n"))).otherwise(0)).alias("_takes"))
+    jumps = marked.where((F.col("op") == "nack") | ((F.col("op") == "commit") & (F.col("_begun").isNull() | (F.col("seq") < F.col("_begun")))))
+    starts = jumps.select(*keys, "offset").unionByName(commands.select(*keys, F.lit(0).cast("long").alias("offset"))).where("offset is not null").distinct()
+
+    numbered = durable(number_within(messages.select("topic", "offset").distinct(), ["topic"], ["offset"]))
+    floors = floor_segment(starts.select("topic", "offset").distinct(), numbered.select("topic", F.col("offset").alias("base")))
+    floors = floors.join(numbered.select("topic", F.col("offset").alias("base"), "nth"), ["topic", "base"], "left").select("topic", "offset", F.coalesce("nth", F.lit(0)).alias("low"))
+    spans = starts.join(floors, ["topic", "offset"]).join(takes, keys).select(*keys, "low", (F.col("low") + F.col("_takes") + 1).alias("high"))
+    spread = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
+    # Of a bucket, the spans of a group are merged to the places that they cover together; a few more do no harm.
+    covered = spread.groupBy(*keys, "_bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = numbered.withColumn("_bucket", F.floor(F.col("nth") / bucket)).join(covered, ["topic", "_bucket"]).where("nth between low and high")
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+
+
 def replay(commands: DataFrame, messages: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
     """One row per command (schema.COMMAND), in order of seq within group and topic, with what it did.
 
     A group and topic is one sequential state machine, folded in one task; groups run in
-    parallel. Commands stream through it, and the topic's offsets come with the first row of each.
+    parallel. Commands stream through it; the offsets that they can reach, which are as many as
+    the commands can deliver, come with the first row of each.
     """
-    topics = messages.groupBy("topic").agg(F.array_sort(F.collect_list("offset")).alias("_offsets"))
     first = F.row_number().over(Window.partitionBy("group", "topic").orderBy("seq")) == 1
-    rows = commands.withColumn("_first", first).join(topics, "topic", "left").withColumn("_offsets", F.when(F.col("_first"), F.coalesce("_offsets", F.array().cast("array<long>"))))
+    reached = reachable_offsets(commands, messages).withColumnRenamed("offsets", "_offsets")
+    rows = commands.withColumn("_first", first).join(reached, ["group", "topic"], "left")
+    rows = rows.withColumn("_offsets", F.when(F.col("_first"), F.coalesce("_offsets", F.array().cast("array<long>"))))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None

@@ -107,6 +107,16 @@ def assign_offsets(rows: DataFrame, order: list[str], base: int = 0, name: str =
     return dealt.join(starts, "_range").withColumn(name, (F.col("_start") + nth).cast("long")).drop("_range", "_start")
 
 
+def number_within(rows: DataFrame, key: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """rows with their number, from 0, within their key; as in assign_offsets() no task sees all rows of a hot key."""
+    dealt = durable(rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key of a range
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*key, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)) - 1
+    return dealt.withColumn("_nth", nth).join(starts, [*key, "_range"]).withColumn(name, (F.col("_start") + F.col("_nth")).cast("long")).drop("_range", "_start", "_nth")
+
+
 def batch_offsets(batches: DataFrame, batch: str, position: str, base: int = 0, partitions: int | None = None) -> DataFrame:
     """Rows of batches with base (their batch's first offset) and offset; batches follow each other in order of their id."""
     sizes = batches.groupBy(batch).agg(F.count(F.lit(1)).alias("_size"))

@@ -95,7 +95,7 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
 
 
 def replay_stream(commands: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
-    """groups.replay() of a stream of commands; rows carry topic_offsets, the offsets of their topic's messages.
+    """groups.replay() of a stream of commands; rows carry topic_offsets, as of groups.reachable_offsets().
 
     The state of a group and topic is GroupFold's, as JSON. Commands of one micro-batch are
     applied in order of seq; a stream must not deliver a command after a later one of its group.

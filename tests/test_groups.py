@@ -148,3 +148,22 @@ def test_replay_is_the_fold(spark):
 def test_replay_of_nothing(spark):
     empty = spark.createDataFrame([], "seq long, at_ms long, group string, topic string, consumer string, op string, n int, offset long")
     assert groups.replay(empty, spark.createDataFrame([], "topic string, offset long")).count() == 0
+
+
+def test_replay_jumps_as_a_fold_over_all_offsets(spark):
+    """Commits before the first acquire and rejected offsets far ahead: the offsets within reach are enough."""
+    import random
+
+    r = random.Random(4)
+    offsets = sorted(r.sample(range(5000), 900))
+    commands = [(0, 0, "g", "t", "A", "commit", None, 1700)]
+    for k in range(1, 120):
+        op = r.choice(["acquire", "acquire", "commit", "nack", "expire"])
+        commands.append((k, k * 7, "g", "t", r.choice("AB"), op, r.randint(1, 4), r.randint(0, 4900)))
+    df = spark.createDataFrame(commands, "seq long, at_ms long, group string, topic string, consumer string, op string, n int, offset long")
+    messages = spark.createDataFrame([("t", o) for o in offsets], "topic string, offset long")
+    found = groups.replay(df, messages, lease_ms=30, most=2).orderBy("seq").collect()
+    fold = GroupFold(offsets, 30, 2)
+    for row, (_, at, _, _, who, op, n, offset) in zip(found, commands, strict=True):
+        want = fold.apply(at, who, op, n, offset)
+        assert {k: row[k] for k in want} == want
