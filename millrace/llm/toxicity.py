@@ -42,8 +42,9 @@ def windows(text: str | None) -> set[bytes]:
 
 
 def _grams(word: bytes) -> set[bytes]:
+    """What may tell in a word: its parts of 5 and 6 bytes, and longer beginnings."""
     word = b" %b " % word
-    return {word[k : k + n] for n in (5, 6) for k in range(len(word) - n + 1)}
+    return {word[k : k + n] for n in (5, 6) for k in range(len(word) - n + 1)} | {word[:n] for n in range(7, min(13, len(word)) + 1)}
 
 
 def _distinct(texts: list[set[bytes]]) -> list[set[bytes]]:
@@ -148,7 +149,7 @@ def train(toxic_texts: list[str | None], ordinary_texts: list[str | None]) -> Mo
     # What tells is common in toxic documents, rare in ordinary ones, and so in documents that it wasn't found in.
     telling = {g for g, c in toxic_grams.items() if c >= max(3, 0.02 * n) and c / n >= 25 * (ordinary_grams[g] + 0.5) / m}
     confirmed = Counter(g for x in toxic_held for g in set().union(*map(_grams, x)) & telling)
-    telling = {g for g in telling if confirmed[g] >= max(2, 0.01 * len(toxic_held))}
+    telling = {g for g in telling if confirmed[g] >= max(1, 0.02 * len(toxic_held))}
     words = sorted(((-c, w) for w, c in in_toxic.items() if _grams(w) & telling))
     common = [w for _, w in sorted((-c, w) for w, c in in_ordinary.items())]
     extra = _content((w for _, w in words), _TOXIC_BYTES)
