@@ -26,6 +26,7 @@ FURNITURE_NAMES = set(
     "header masthead menu menubar modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related "
     "respond sidebar sidebars share sharing signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+_ABOUT_OTHERS = {"with", "without", "has", "no", "js"}  # "has-sidebar" is what stands beside a sidebar
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
@@ -45,9 +46,11 @@ def _is_furniture(name: str, attributes: str, in_content: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for kind, *values in _NAMES.findall(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
-        if not (FURNITURE_ROLES if kind.lower() == "role" else FURNITURE_NAMES).isdisjoint(words):
-            return True
+        names = FURNITURE_ROLES if kind.lower() == "role" else FURNITURE_NAMES - {"header"} if in_content else FURNITURE_NAMES
+        for given in "".join(values).split():
+            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", given).lower())
+            if words[0] not in _ABOUT_OTHERS and words[-1] != "free" and not names.isdisjoint(words):
+                return True
     return False
 
 

@@ -43,6 +43,13 @@ def test_pages_without_landmarks_keep_the_long_stretch():
     assert html_text.main_text(page) == f"Head {'Some text here. ' * 20}Short."
 
 
+def test_names_of_elements():
+    story = "<p>" + "Words of the story. " * 12 + "</p>"
+    page = f"""<body class="has-sidebar"><div id="main" class="with-sidebar ad-free"><div class="site-header">Site</div><article class="post"><div class="entry-header"><h1>Title</h1></div>{story}
+    <div class="cookie-notice">Cookies!</div><div class="relatedPosts">More</div><div role="complementary">Aside</div><div hidden>Gone</div></article></div>"""
+    assert html_text.main_text(page) == "Title " + ("Words of the story. " * 12).strip()
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<", "<script>x", "<nav>a", "&", "<p>x</p>" * 3, "<article></article>", "<a" * 500])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
