@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let
+from millrace.llm.common import fresh, let
 
 # Words that name secrets, words that name other codes, and everyday parts of names.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer"]
@@ -186,29 +186,29 @@ def findings(text: Column, forest: tuple) -> Column:
     return F.when(text.rlike("[0-9=:]"), let(F.split(text, r"[\x20\x09-\x0D]+"), of_words)).otherwise(nothing)
 
 
-def scan(docs: DataFrame, forest: tuple | None = None, threshold: float = 0.5, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forest: tuple | None = None, threshold: float = 0.5, mask: str = "[SECRET]", text_col: str = "text", names: tuple[str, str, str] = ("findings", "secrets", "redacted")) -> DataFrame:
     """docs with findings (value, place, score), secrets (different values scoring at least threshold) and redacted.
 
     redacted is the text with every occurrence of a secret replaced by mask; null texts stay null and have no findings.
-    Repeated rows get equal results; an empty table gives no rows. Columns of docs by those three names are replaced.
+    Repeated rows get equal results; an empty table gives no rows. Columns of docs that have one of the names are replaced.
     """
+    listed, secrets, redacted = names
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("findings", findings(text, forest or _default_forest()))
-    found = F.array_sort(F.array_distinct(F.transform(F.filter("findings", lambda f: f["score"] >= threshold), lambda f: f["value"])))
+    out = docs.withColumn(listed, findings(text, forest or _default_forest()))
+    found = F.array_distinct(F.transform(F.filter(listed, lambda f: f["score"] >= threshold), lambda f: f["value"]))
     # Longer values first: one may lie inside another.
     order = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
-    out = out.withColumn("secrets", F.array_sort(found, order))
-    return out.withColumn("redacted", F.when(F.size("secrets") == 0, F.col(text_col)).otherwise(F.aggregate("secrets", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mask)))))
+    out = out.withColumn(secrets, F.array_sort(found, order))
+    masked = F.aggregate(secrets, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mask)))
+    return out.withColumn(redacted, F.when(F.size(secrets) == 0, F.col(text_col)).otherwise(masked))
 
 
 def redact(docs: DataFrame, forest: tuple | None = None, threshold: float = 0.5, mask: str = "[SECRET]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with secrets masked in the text, all rows and columns kept; length_col, where there is one, follows the text."""
-    kept = docs.columns
-    clash = {"findings", "secrets", "redacted"} & {c.lower() for c in kept}
-    if clash:
-        raise ValueError(f"rename columns {sorted(clash)} first")
-    found = scan(docs, forest, threshold, mask, text_col).withColumn(text_col, F.col("redacted"))
-    if length_col in kept:
+    names = tuple(fresh(docs, x) for x in ("findings", "secrets", "redacted"))
+    _, secrets, redacted = names
+    found = scan(docs, forest, threshold, mask, text_col, names).withColumn(text_col, F.col(redacted))
+    if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        found = found.withColumn(length_col, F.when(F.size("secrets") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return found.select(*kept)
+        found = found.withColumn(length_col, F.when(F.size(secrets) > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return found.select(*docs.columns)

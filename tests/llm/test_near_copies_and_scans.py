@@ -97,8 +97,9 @@ def test_secrets_are_found_and_masked(spark):
     found = {r.doc_id: r for r in secret_scan.scan(docs_of(spark, SECRETS)).collect()}
     assert {k for k, r in found.items() if r.secrets} == {1, 2, 3, 11}
     assert found[3].redacted == "whthwh [SECRET] to [SECRET]" and found[7].redacted is None and found[9].redacted == SECRETS[8][1]
-    masked = secret_scan.redact(docs_of(spark, SECRETS).withColumn("n_chars", F.length("text").cast("long")))
-    assert masked.columns == ["doc_id", "text", "fp", "score", "n_chars"] and masked.count() == len(SECRETS)
+    docs = docs_of(spark, SECRETS).withColumn("n_chars", F.length("text").cast("long")).withColumn("Secrets", F.lit("own"))
+    masked = secret_scan.redact(docs)
+    assert masked.columns == docs.columns and masked.where("Secrets = 'own'").count() == len(SECRETS) and masked.count() == len(SECRETS)
     assert all(r.n_chars == len(r.text) for r in masked.where("text is not null").collect())
     assert secret_scan.scan(docs_of(spark, [])).count() == 0
 
