@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import durable, shared_dir
+
+__all__ = ["durable", "fresh", "let", "normal_space", "shared_dir", "small", "table", "words"]
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 #: Runs that are not already one plain space; replacing them gives what replacing every run would.
@@ -28,21 +30,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset, as in tests, a local one."""
-    sc = spark.sparkContext
-    if (set_dir := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-shared-"))
-        set_dir = sc.getCheckpointDir()
-    return set_dir
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that later steps survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +40,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df, which must be durable() and narrow, to be broadcast in a join if it has at most most_rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df
