@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import durable, fresh, normal_space
+from millrace.llm.common import durable, fresh, normal_space, small
 
 
 def sha256_hex(text: Column) -> Column:
@@ -87,10 +87,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     again = F.col("keep_id").eqNullSafe(F.col("doc_id"))
     gone, key, mark = (fresh(docs, x) for x in ("gone", "key", "mark"))
     dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("digest").alias(mark), again.alias("again"))
-    copies, repeats = dropped.where("not again").drop("again").distinct(), dropped.where("again").drop("again").distinct()
+    copies, repeats = (durable(dropped.where(kind).drop("again").distinct()) for kind in ("not again", "again"))
     keyed = docs.withColumn(key, digest(normal_space(F.col(text_col))))
     same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(key) == F.col(mark))
-    kept = keyed.join(copies, same, "left_anti")
+    kept = keyed.join(small(copies), same, "left_anti")
     if not repeats.isEmpty():
         kept = kept.join(repeats, same, "left_anti").unionByName(kept.join(repeats, same, "left_semi").dropDuplicates([id_col, key]))
     return kept.drop(key)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, fresh
+from millrace.llm.common import durable, fresh, small
 from millrace.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -159,5 +159,5 @@ def drop_near_copies(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
     """
     key = fresh(docs, "dropped")
     groups = near_groups(docs, radius, width, seed, id_col, text_col)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    dropped = durable(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(small(dropped), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
