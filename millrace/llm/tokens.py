@@ -37,7 +37,7 @@ class WordBpe:
     times as many others have come, collecting starts anew. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.missed = limit, 0
