@@ -13,95 +13,99 @@ from __future__ import annotations
 import numpy as np
 
 NIBBLES = 4  # ids below 65,536
-_HASHED = 1021  # contexts of the last nibble
+_HASHED = 251  # contexts of the last nibble
 _CONTEXTS = 1 + 16 + 256 + _HASHED
 _ADD, _MOST = 24, 2048  # what a nibble adds to its count; counts are halved beyond this sum
-_SLOTS = 4096  # of each order's table of predictions
+_SLOTS = 1024  # of each order's table of predictions
 _RATIO = 14  # a prediction weighs at most so many times the counts
 _MASK, _TOP, _BOTTOM = (1 << 48) - 1, 1 << 32, 1 << 16
 
 
 #: What each nibble adds to a row of cumulative counts.
 _STEPS = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16) * np.uint16(_ADD)
+#: 64 times the weight of a prediction that was right so often (row) of so many times (column).
+_RATIOS = np.array([[min(64 * r // max(1, t - r + 1), 64 * _RATIO) for t in range(256)] for r in range(256)]).reshape(-1)
 
 
 class _Models:
-    """The models of `lanes` blocks. Slots of the prediction tables hold an id; -1 before the first."""
+    """The models of `lanes` blocks. Slots of the prediction tables hold an id; -1 before the first.
+
+    Arrays of two rows hold order 1 and order 2.
+    """
 
     def __init__(self, lanes: int) -> None:
         self.counts = np.tile(np.arange(17, dtype=np.uint16), (lanes * _CONTEXTS, 1))  # cumulative
         self.flat = self.counts.reshape(-1)
         self.base = np.arange(lanes) * _CONTEXTS
-        self.seen = np.full((2, lanes * _SLOTS), -1, np.int32)
-        self.sure = np.zeros((2, lanes * _SLOTS), np.int8)
-        self.right = np.ones((2, lanes * 4), np.int64)
-        self.tried = np.full((2, lanes * 4), 3, np.int64)
+        of_lane = np.arange(2 * lanes).reshape(2, lanes)
+        self.slots, self.cells = of_lane * _SLOTS, of_lane * 4
+        self.seen = np.full(2 * lanes * _SLOTS, -1, np.int32)
+        self.sure = np.zeros(2 * lanes * _SLOTS, np.int8)
+        self.right = np.ones(2 * lanes * 4, np.int64)
+        self.tried = np.full(2 * lanes * 4, 3, np.int64)
         self.last = np.zeros((2, lanes), np.int64)
+        self.mixed = np.zeros((2, lanes), np.int64)
 
     def begin(self, n: int) -> None:
         """Predictions for the next id of the first n lanes."""
-        lane = np.arange(n)
         one, two = self.last[0, :n], self.last[1, :n]
-        slots = ((one * 40503) >> 4) & (_SLOTS - 1), ((one * 2654435761 + two * 40503) >> 7) & (_SLOTS - 1)
-        self.slot = [lane * _SLOTS + s for s in slots]
-        self.guess, self.cell, self.ratio, self.alive = [], [], [], []
-        for order in (0, 1):
-            guess = self.seen[order][self.slot[order]].astype(np.int64)
-            cell = lane * 4 + self.sure[order][self.slot[order]]
-            right, tried = self.right[order][cell], self.tried[order][cell]
-            self.guess.append(guess)
-            self.cell.append(cell)
-            self.ratio.append(np.minimum(right * 64 // (tried - right + 1), _RATIO * 64))
-            self.alive.append(guess >= 0)
+        mixed = self.mixed[:, :n]
+        np.multiply(one, 2531, out=mixed[0])
+        np.multiply(one, 2654435761, out=mixed[1])
+        mixed[1] += two * 40503
+        self.slot = self.slots[:, :n] + ((mixed >> 9) & (_SLOTS - 1))
+        self.guess = self.seen.take(self.slot).astype(np.int64)
+        self.cell = self.cells[:, :n] + self.sure.take(self.slot)
+        self.was_right, self.was_tried = self.right.take(self.cell), self.tried.take(self.cell)
+        self.known = self.guess >= 0
+        self.alive = self.known
+        self.ratio = _RATIOS.take((self.was_right << 8) + self.was_tried)
 
     def weigh(self, k: int, high: np.ndarray) -> np.ndarray:
         """Makes the mixture for nibble k, whose id has the bits `high` above it, ready; its whole weight."""
-        n = len(high)
-        base = self.base[:n]
+        base = self.base[: len(high)]
         self.row = base if k == 0 else base + (1 + high) if k == 1 else base + (17 + high) if k == 2 else base + (273 + high % _HASHED)
         self.at = self.row * 17
         count = self.flat.take(self.at + 16).astype(np.int64)
-        self.nibble = [(guess >> (12 - 4 * k)) & 15 for guess in self.guess]
-        self.extra = [(count * ratio >> 6) * alive for ratio, alive in zip(self.ratio, self.alive, strict=True)]
-        self.full = count + _ADD > _MOST
+        self.nibble = (self.guess >> (12 - 4 * k)) & 15
+        self.extra = (count * self.ratio >> 6) * self.alive
+        self.full = count > _MOST - _ADD
         return count + self.extra[0] + self.extra[1]
 
     def below(self, nibble: np.ndarray) -> np.ndarray:
         """The weight of all nibbles below each of `nibble`."""
-        (a, b), (x, y) = self.nibble, self.extra
-        return self.flat.take(self.at + nibble) + x * (a < nibble) + y * (b < nibble)
+        extra = self.extra * (self.nibble < nibble)
+        return self.flat.take(self.at + nibble) + extra[0] + extra[1]
 
     def learn(self, nibble: np.ndarray) -> None:
         grown = self.counts.take(self.row, axis=0) + _STEPS.take(nibble, axis=0)
         if (over := np.nonzero(self.full)[0]).size:
             grown[over, 1:] = np.cumsum((np.diff(grown[over].astype(np.int64), axis=1) + 1) >> 1, axis=1)
         self.counts[self.row] = grown
-        self.alive = [alive & (guess == nibble) for alive, guess in zip(self.alive, self.nibble, strict=True)]
+        self.alive = self.alive & (self.nibble == nibble)
 
     def end(self, ids: np.ndarray) -> None:
         """All nibbles of ids are coded: predictions are judged and replaced."""
-        for order in (0, 1):
-            hit, slot, cell = self.alive[order], self.slot[order], self.cell[order]
-            known = self.guess[order] >= 0
-            tried = self.tried[order][cell] + known
-            right = self.right[order][cell] + hit
-            old = tried > 255
-            self.tried[order][cell] = np.where(old, tried >> 1, tried)
-            self.right[order][cell] = np.where(old, right >> 1, right)
-            sure = self.sure[order][slot]
-            self.sure[order][slot] = np.where(hit, np.minimum(sure + 1, 3), 0)
-            self.seen[order][slot] = ids
+        tried = self.was_tried + self.known
+        old = tried > 255
+        self.tried[self.cell] = tried >> old
+        self.right[self.cell] = (self.was_right + self.alive) >> old
+        self.sure[self.slot] = np.minimum(self.sure.take(self.slot) + 1, 3) * self.alive
+        self.seen[self.slot] = ids
         n = len(ids)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
 
-def _settled(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that move a word out, and their widths before that."""
-    same = ((low ^ (low + width)) & ~np.int64(_TOP - 1)) == 0
-    move = np.nonzero(same | (width < _BOTTOM))[0]
-    cut = np.where(same[move], width[move], -low[move] & (_BOTTOM - 1))
-    return move, cut
+def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which lanes move a word out: those whose highest 16 bits are settled, and those that got too narrow."""
+    return np.nonzero((low ^ (low + width) < _TOP) | (width < _BOTTOM))[0]
+
+
+def _widened(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low ends and widths of such lanes after the move; what is too narrow to go on ends at the next boundary."""
+    cut = np.where(low ^ (low + width) < _TOP, width, -low & (_BOTTOM - 1))
+    return (low << 16) & _MASK, cut << 16
 
 
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
@@ -128,14 +132,14 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
             start = models.below(nibble)
             low[:n] += start * part
             width[:n] = (models.below(nibble + 1) - start) * part
-            while True:
-                move, cut = _settled(low[:n], width[:n])
-                if not move.size:
-                    break
-                out[move, used[move]] = low[move] >> 32
-                used[move] += 1
-                low[move] = (low[move] << 16) & _MASK
-                width[move] = cut << 16
+            move = _settled(low[:n], width[:n])
+            while move.size:
+                a, b, at = low[move], width[move], used[move]
+                out[move, at] = a >> 32
+                used[move] = at + 1
+                a, b = _widened(a, b)
+                low[move], width[move] = a, b
+                move = move[_settled(a, b)]
             models.learn(nibble)
         models.end(now)
     for shift in (32, 16, 0):
@@ -172,14 +176,14 @@ def decode(words: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
             start = models.below(nibble)
             low[:n] += start * part
             width[:n] = (models.below(nibble + 1) - start) * part
-            while True:
-                move, cut = _settled(low[:n], width[:n])
-                if not move.size:
-                    break
-                code[move] = ((code[move] << 16) & _MASK) | data[move, np.minimum(used[move], data.shape[1] - 1)]
-                used[move] += 1
-                low[move] = (low[move] << 16) & _MASK
-                width[move] = cut << 16
+            move = _settled(low[:n], width[:n])
+            while move.size:
+                at = used[move]
+                code[move] = ((code[move] << 16) & _MASK) | data[move, np.minimum(at, data.shape[1] - 1)]
+                used[move] = at + 1
+                a, b = _widened(low[move], width[move])
+                low[move], width[move] = a, b
+                move = move[_settled(a, b)]
             models.learn(nibble)
             now = now << 4 | nibble
         models.end(now)

@@ -29,7 +29,7 @@ from millrace.llm.common import shared_dir
 from millrace.llm.tokens import word_bpe
 
 MAGIC = b"MRT1"
-BLOCK = 2048
+BLOCK = 1024
 _SEGMENTS = "part long, segment long, n_tokens long, data binary"
 
 
@@ -77,7 +77,7 @@ def from_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(None if z else int(d), whole[a : a + c]) for d, z, a, c in zip(doc_ids, null, at, counts, strict=True)]
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segment_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segment_tokens: int = 7_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends end_id and writes segments, of about segment_tokens ids or one document, to path.
 
     Null texts count as empty. Documents are dealt by ranges of their id and sorted by it;
