@@ -95,24 +95,27 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
 
 
 def replay_stream(commands: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
-    """groups.replay() of a stream of commands; rows carry topic_offsets, as of groups.reachable_offsets().
+    """groups.replay() of a stream of commands; the first row of a group and topic carries
+    topic_offsets, as of groups.reachable_offsets(); on others it is null.
 
-    The state of a group and topic is GroupFold's, as JSON. Commands of one micro-batch are
+    The state of a group and topic is GroupFold's with those offsets, as JSON. Commands of one micro-batch are
     applied in order of seq; a stream must not deliver a command after a later one of its group.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        group = GroupFold([int(x) for x in rows["topic_offsets"].iloc[0]], lease_ms, most)
-        if state.exists:
-            kept = json.loads(state.get[0])
+        kept = json.loads(state.get[0]) if state.exists else {}
+        given = rows["topic_offsets"].dropna()
+        offsets = kept.pop("offsets", None) or ([int(x) for x in given.iloc[0]] if len(given) else [])
+        group = GroupFold(offsets, lease_ms, most)
+        if kept:
             kept["leases"] = {k: tuple(v) for k, v in kept["leases"].items()}
             kept["ranges"] = [tuple(x) for x in kept["ranges"]]
             kept["attempts"] = {int(k): v for k, v in kept["attempts"].items()}
             group.restore(kept)
         whole = lambda x: None if pd.isna(x) else int(x)
         out = [{"seq": r.seq, "group": r.group, "topic": r.topic, "op": r.op} | group.apply(int(r.at_ms), r.consumer, r.op, whole(r.n), whole(r.offset)) for r in rows.itertuples(index=False)]
-        state.update((json.dumps(group.state()),))
+        state.update((json.dumps(group.state() | {"offsets": offsets}),))
         found = pd.DataFrame(out)
         yield found.astype({"delivered_from": "Int64", "delivered_to": "Int64"})
 
