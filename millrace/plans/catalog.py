@@ -307,7 +307,8 @@ ranges AS (SELECT 'g' || (user_id % 3) AS "group", topic, "offset" // 8 * 8 AS f
 
 def _commit_ranges(spark, d):
     low = F.expr("offset div 8 * 8")
-    rows = messages(spark, d).where("offset < 4000 and offset div 8 % 97 <> 96")
+    # All messages. The SQL's offsets below 4000 give the same: offsets 768 to 775 are in no range, so what starts later never counts.
+    rows = messages(spark, d).where("offset div 8 % 97 <> 96")
     user = F.col("key").cast("long")
     return rows.select(F.concat(F.lit("g"), user % 3).alias("group"), "topic", low.alias("from_offset"), (low + 8 + user % 5).alias("to_offset"))
 
