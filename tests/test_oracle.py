@@ -34,3 +34,10 @@ def test_commit_ranges_come_from_the_whole_table(spark):
     messages = catalog.messages(spark, SF.replace("0.001", "0.01"))
     assert ranges.count() == messages.where("offset div 8 % 97 <> 96").count() > 4000
     assert ranges.agg({"from_offset": "max"}).first()[0] == messages.agg({"offset": "max"}).first()[0] // 8 * 8
+
+
+def test_every_event_is_a_command(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert {r.seq for r in catalog.commands(spark, SF).select("seq").collect()} == {r.event_id for r in events.select("event_id").collect()}
+    for name in ("group_replay", "stream_group_replay"):
+        assert catalog.QUERIES[name](spark, SF).count() == events.count()
