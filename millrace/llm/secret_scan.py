@@ -35,8 +35,10 @@ _KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za
 _NAMES = "|".join(sorted(map(re.escape, SECRET_WORDS), key=len, reverse=True))
 _OTHERS = "|".join(sorted(map(re.escape, OTHER_WORDS), key=len, reverse=True))
 _VALUE = r"[A-Za-z0-9+/_=.~!@%^-]"
-#: The secret within a word, in group 1: after name and sign, or a known form, or a long code.
-_PATTERNS = [rf"(?i:{_NAMES})[\"']?[=:][\"']?({_VALUE}{{8,}})", rf"({_KNOWN})", r"(?:^|[^A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})"]
+#: The secrets within a word, in group 1: after name and sign, or of a known form, or long codes; of those without a digit none.
+_PATTERNS = [rf"(?i:{_NAMES})[\"']?[=:][\"']?({_VALUE}{{8,}})", rf"({_KNOWN})", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})"]
+#: The names and signs that a value of a word stands directly behind.
+_BEFORE = r"((?:[A-Za-z_0-9-]+[\"']?[=:][\"']?)+)$"
 FEATURES = ["length", "transitions", "digits", "different", "dictionary", "path", "named", "other", "hex", "known"]
 
 
@@ -168,18 +170,30 @@ def _vote_column(forest: tuple, x: Column) -> Column:
 
 
 def findings(text: Column, forest: tuple) -> Column:
-    """Array of (value, place, score) of every candidate in a text; place is the number of its word, from 0."""
+    """Array of (value, place, score) of every candidate in a text; place is the number of its word, from 0.
+
+    A word has as many candidates as different values; one that lies inside another is judged too.
+    """
 
     def of_words(w: Column) -> Column:
-        def candidate(word: Column, k: Column) -> Column:
-            values = F.coalesce(*[F.when(word.rlike(p), F.regexp_extract(word, p, 1)) for p in _PATTERNS], F.lit(""))
-            near = F.concat_ws(" ", F.get(w, k - 2), F.get(w, k - 1), F.regexp_extract(word, r"^[\"'({\[]*([A-Za-z_0-9-]+)[\"']?[=:]", 1))
-            return F.struct(values.alias("value"), k.alias("place"), word.alias("word"), near.alias("near"))
-
-        is_one = lambda c: (c["value"] != "") & (c["word"].rlike(_PATTERNS[0]) | c["value"].rlike(_KNOWN) | c["value"].rlike("[0-9]"))
-        judge = lambda c: let(F.array(*_feature_columns(c["value"], c["word"], c["near"])), lambda x: F.struct(c["value"].alias("value"), c["place"].alias("place"), _vote_column(forest, x).alias("score")))
-        possible = F.filter(F.transform(w, lambda word, k: F.when(word.rlike(r"[0-9=:]"), candidate(word, k))), lambda c: c.isNotNull())
-        return F.transform(F.filter(possible, is_one), judge)
+        def values(word: Column) -> Column:
+            named, known, long = (F.regexp_extract_all(word, F.lit(p), F.lit(1)) for p in _PATTERNS)
+            return F.array_distinct(F.concat(named, known, F.filter(long, lambda v: v.rlike("[0-9]"))))
+
+        def judged(word: Column, k: Column) -> Column:
+            beside = F.concat_ws(" ", F.get(w, k - 2), F.get(w, k - 1))
+
+            def judge(v: Column) -> Column:
+                # A value may stand in its word several times, each behind a name of its own: the best score counts.
+                parts = F.split(word, F.concat(F.lit(r"\Q"), v, F.lit(r"\E")))
+                nears = F.array_distinct(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat_ws(" ", beside, F.regexp_extract(p, _BEFORE, 1))))
+                score = F.array_max(F.transform(nears, lambda near: let(F.array(*_feature_columns(v, word, near)), lambda x: _vote_column(forest, x))))
+                return F.struct(v.alias("value"), k.alias("place"), score.alias("score"))
+
+            return F.transform(values(word), judge)
+
+        possible = F.transform(w, lambda word, k: F.when(word.rlike("[0-9=:]"), judged(word, k)))
+        return F.flatten(F.filter(possible, lambda c: c.isNotNull()))
 
     nothing = F.array().cast("array<struct<value:string,place:int,score:double>>")
     # A candidate has a digit, or stands after a name and a sign: other texts aren't split.
