@@ -37,6 +37,8 @@ _OTHERS = "|".join(sorted(map(re.escape, OTHER_WORDS), key=len, reverse=True))
 _VALUE = r"[A-Za-z0-9+/_=.~!@%^-]"
 #: The secrets within a word, in group 1: after name and sign, or of a known form, or long codes; of those without a digit none.
 _PATTERNS = [rf"(?i:{_NAMES})[\"']?[=:][\"']?({_VALUE}{{8,}})", rf"({_KNOWN})", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})"]
+#: A secret after a name and a sign that stand apart from it, in group 1; of its word with the two words before.
+_APART = rf"(?i:{_NAMES})[\"']?\x20?[=:]{{1,2}}>?\x20?[\"'`({{\[]*({_VALUE}{{8,}})[^\x20]*$"
 #: The names and signs that a value of a word stands directly behind.
 _BEFORE = r"((?:[A-Za-z_0-9-]+[\"']?[=:][\"']?)+)$"
 FEATURES = ["length", "transitions", "digits", "different", "dictionary", "path", "named", "other", "hex", "known"]
@@ -92,8 +94,10 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     alnum, hexa = upper + lower + digits, "0123456789abcdef"
     some = lambda: " ".join(pick(lower, r.randint(2, 9)) for _ in range(2))
     camel = lambda: "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(2, 4)))
+    apart = lambda name: r.choice((f"{some().split()[0]} {name}:", f"{name} =", f"{name} :", f'{some().split()[0]} "{name}":', f"- {name}="))
+    leet = lambda: r.choice(DICTIONARY).capitalize().translate(str.maketrans("aeios", "43105")) + pick(lower, r.randint(2, 5)) + pick(digits, r.randint(1, 3)) + pick(lower, r.randint(0, 3))
     made = []
-    for _ in range(n // 16):
+    for _ in range(n // 24):
         name = r.choice(SECRET_WORDS)
         for value, word, near, label in (
             (v := "AKIA" + pick(upper + digits, 16), v, some(), 1),
@@ -104,7 +108,15 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
             (v := "sk_live_" + pick(alnum, 24), v, some(), 1),
             (v := pick(alnum + "+/", 40), v, f"{r.choice(SECRET_WORDS)} =", 1),
             (v := pick(alnum + "!@%", r.randint(10, 16)), f"{name}={v}", f"{some()} {name}", 1),
+            (v := pick(lower, r.randint(4, 8)) + pick(digits, r.randint(1, 4)) + pick(lower, r.randint(3, 5)), f'"{v}"', apart(name), 1),
+            (v := leet(), v, apart(name), 1),
+            (v := leet() + r.choice("!@%^"), v, apart(name), 1),
+            (v := pick(alnum + "!@%", r.randint(8, 20)), v, apart(name), 1),
+            (v := pick(upper + lower, r.randint(12, 24)), v, apart(name), 1),
             (v := pick(hexa, 40), v, f"{r.choice(OTHER_WORDS)} {r.choice(('', ':', '='))}", 0),
+            (v := pick(lower, r.randint(8, 14)) + r.choice(("", "", ".", "!")), v, apart(name), 0),
+            (v := pick(upper, 1) + pick(lower, r.randint(7, 12)), v, apart(name), 0),
+            (v := r.choice("-._").join(pick(lower, r.randint(3, 8)) for _ in range(r.randint(2, 3))), v, apart(name), 0),
             (v := pick(hexa, r.choice((32, 64))), f"{(o := r.choice(OTHER_WORDS))}:{v}", f"{some()} {o}", 0),
             (v := "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), v, some(), 0),
             (v := pick(digits, r.randint(16, 24)), v, some(), 0),
@@ -176,9 +188,10 @@ def findings(text: Column, forest: tuple) -> Column:
     """
 
     def of_words(w: Column) -> Column:
-        def values(word: Column) -> Column:
+        def values(word: Column, beside: Column) -> Column:
             named, known, long = (F.regexp_extract_all(word, F.lit(p), F.lit(1)) for p in _PATTERNS)
-            return F.array_distinct(F.concat(named, known, F.filter(long, lambda v: v.rlike("[0-9]"))))
+            apart = F.when(beside.rlike("[=:]") | word.rlike("^[=:]"), F.regexp_extract_all(F.concat_ws(" ", beside, word), F.lit(_APART), F.lit(1)))
+            return F.array_distinct(F.concat(named, F.coalesce(apart, F.array().cast("array<string>")), known, F.filter(long, lambda v: v.rlike("[0-9]"))))
 
         def judged(word: Column, k: Column) -> Column:
             beside = F.concat_ws(" ", F.get(w, k - 2), F.get(w, k - 1))
@@ -190,9 +203,10 @@ def findings(text: Column, forest: tuple) -> Column:
                 score = F.array_max(F.transform(nears, lambda near: let(F.array(*_feature_columns(v, word, near)), lambda x: _vote_column(forest, x))))
                 return F.struct(v.alias("value"), k.alias("place"), score.alias("score"))
 
-            return F.transform(values(word), judge)
+            return F.transform(values(word, beside), judge)
 
-        possible = F.transform(w, lambda word, k: F.when(word.rlike("[0-9=:]"), judged(word, k)))
+        sign = lambda k: F.coalesce(F.get(w, k - 1).rlike("[=:]>?[\"'`({\\[]*$"), F.lit(False))
+        possible = F.transform(w, lambda word, k: F.when(word.rlike("[0-9=:]") | sign(k), judged(word, k)))
         return F.flatten(F.filter(possible, lambda c: c.isNotNull()))
 
     nothing = F.array().cast("array<struct<value:string,place:int,score:double>>")

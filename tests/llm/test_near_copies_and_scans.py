@@ -120,6 +120,18 @@ def test_every_secret_of_a_word_is_found(spark, text, want):
     assert not any(v in r.redacted for v in want) and "your_example_value" not in r.secrets
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("db:\n  password: Tr0ub4dor3x\n", "Tr0ub4dor3x"), ('{ "password": "hunter2xyz99", "a": 1 }', "hunter2xyz99"), ("password = S3cretPass!", "S3cretPass!"), ("db_passwd =q8Zr2mWx7", "q8Zr2mWx7"),
+        ("secret = xKqZwPlMnTrBvGyH", "xKqZwPlMnTrBvGyH"), ("password: your_example_value", None), ("The secret: everything is written down.", None), ("the token : available tomorrow", None), ("order: Tr0ub4dor3x", None),
+    ],
+)
+def test_values_apart_from_their_names(spark, text, want):
+    r = secret_scan.scan(docs_of(spark, [(1, text)])).first()
+    assert r.secrets == ([want] if want else []) and r.redacted == (text.replace(want, "[SECRET]") if want else text)
+
+
 def test_votes_in_columns_equal_the_forest_s(spark):
     forest = secret_scan.fit(secret_scan.labelled_findings(320, seed=4))
     held = secret_scan.labelled_findings(320, seed=5)
