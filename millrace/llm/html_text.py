@@ -2,13 +2,14 @@
 
 Markup is stripped to lines, one a block; what stands in menus, headers, footers, notices,
 forms and the like leaves lines of length 0. Lengths are summed over sliding windows of lines:
-where the sum surges from 0 text begins, where it dives to 0 text ends, and the text between is kept.
+where the sum leaves 0 text begins, where it dives to 0 text ends, and the text between is kept if the sum surges in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -34,8 +35,15 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Lines in a window.
 WINDOW = 3
-#: Where a page names no content element: characters that a window must reach, and share of the longest stretch to be kept.
-SURGE, SHARE = 60, 0.2
+#: Where a page names no content element: characters that a window of a stretch must reach, if any of the page does.
+SURGE = 60
+#: Elements whose end tag may be left out: what begins after them, and in which elements it begins within them instead.
+_P_ENDS = set("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
+_CELL_ENDS = set("td th tr tbody tfoot".split())
+IMPLIED_ENDS = {
+    "p": (_P_ENDS, ()), "li": ({"li"}, ("ul", "ol", "menu")), "dt": ({"dt", "dd"}, ("dl",)), "dd": ({"dt", "dd"}, ("dl",)),
+    "td": (_CELL_ENDS, ("table",)), "th": (_CELL_ENDS, ("table",)), "tr": (_CELL_ENDS - {"td", "th"}, ("table",)),
+}
 
 
 def _is_furniture(name: str, attributes: str, in_content: bool) -> bool:
@@ -60,8 +68,10 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
     held: list[str] = []
     linked = at = 0
     open_content: list[str] = []
-    open_links = skipped_depth = 0
+    open_links = 0
     skipped = ""
+    inner: Counter[str] = Counter()  # open elements within the skipped one
+    outer: Counter[str] = Counter()  # those around it
 
     def end(gap: bool = False) -> None:
         nonlocal held, linked
@@ -87,11 +97,19 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
             continue
         closing, void = bool(token[1]), name in VOID or token[3].rstrip().endswith("/")
         if skipped:
-            if name == skipped and not void:
-                skipped_depth += -1 if closing else 1
-            if skipped_depth == 0 or (name in CONTENT and not closing and not open_content):
+            ends, within = IMPLIED_ENDS.get(skipped, ((), ()))
+            if not closing and ((name in CONTENT and not open_content) or (name in ends and not any(inner[x] for x in within))):
                 skipped = ""
-            if skipped or closing:
+            elif closing and inner[name] == 0 and name == skipped:
+                skipped = ""
+                continue
+            elif closing and inner[name] == 0 and outer[name] > 0 and (name != "p" or skipped in INLINE):
+                skipped = ""  # the end of an element around it
+            else:
+                if name in RAW and not closing and not void and (found := re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)):
+                    at = found.end()
+                elif not void:
+                    inner[name] = max(0, inner[name] + (-1 if closing else 1))
                 continue
         if name in RAW and not closing and not void:
             if name not in INLINE:
@@ -103,14 +121,16 @@ def lines_of(page: str) -> list[tuple[str, bool, float]]:
             if name == "a":
                 open_links = 0 if closing else 1
             if not closing and not void and _is_furniture(name, token[3], bool(open_content)):
-                skipped, skipped_depth = name, 1
+                skipped, inner = name, Counter()
             continue
         open_links = 0
         if not closing and not void and _is_furniture(name, token[3], bool(open_content)):
             end(gap=True)
-            skipped, skipped_depth = name, 1
+            skipped, inner = name, Counter()
             continue
         end()
+        if not void:
+            outer[name] = max(0, outer[name] + (-1 if closing else 1))
         if name in CONTENT:
             if closing:
                 while open_content and open_content.pop() != name:
@@ -130,18 +150,17 @@ def main_text(page: str | None) -> str:
     # The length that a line has in the distribution: none outside a named content element or in mere lists of links.
     lengths = [len(text) if (inside if named else linked < 0.5) else 0 for text, inside, linked in lines]
     sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
-    surge = 1 if named else SURGE
-    stretches: list[tuple[int, int]] = []
+    surge = 1 if named else min(SURGE, max(sums, default=0))
+    kept: list[str] = []
     begun = None
     for k, total in enumerate([*sums, 0]):
-        if begun is None and total >= surge:
+        if begun is None and total > 0:
             begun = k
         elif begun is not None and total == 0:
-            stretches.append((begun, k))
+            if max(sums[begun:k]) >= surge:
+                kept += [lines[i][0] for i in range(begun, k) if lengths[i]]
             begun = None
-    size = lambda s: sum(lengths[s[0] : s[1]])
-    least = 0 if named else SHARE * max(map(size, stretches), default=0)
-    return " ".join(lines[k][0] for s in stretches if size(s) >= least for k in range(*s) if lengths[k])
+    return " ".join(kept)
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

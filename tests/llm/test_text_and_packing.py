@@ -50,6 +50,28 @@ def test_names_of_elements():
     assert html_text.main_text(page) == "Title " + ("Words of the story. " * 12).strip()
 
 
+@pytest.mark.parametrize("first, last", [(600, 110), (1100, 210), (2000, 60)])
+def test_short_stretches_beside_adverts_stay(first, last):
+    page = f"<body><p>Lead</p><p>By A</p><p>May</p><p>{'a' * first}</p><div class='ad'>Buy</div><p>{'b' * last}</p></body>"
+    assert html_text.main_text(page) == f"Lead By A May {'a' * first} {'b' * last}"
+
+
+def test_pages_of_few_characters_stay():
+    assert html_text.main_text("<body><nav>Home</nav><p>Only five and forty characters of text, here.</p></body>") == "Only five and forty characters of text, here."
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>One.<p class='notice'>Skip<p>Two.<p>Three.", "One. Two. Three."), ("<ul><li>One.<li class='ad'>Skip <b>this</b><li>Two.</ul><p>Three.", "One. Two. Three."),
+        ("<ul><li>One.<li class='ad'>Skip<ul><li>this</ul></ul><p>Two.", "One. Two."), ("<div>One.<div class='ad'><script>'</div></section>'</script>Skip<div>this</div></div>Two.</div>", "One. Two."),
+        ("<section>One.<aside>Skip</section><p>Two.", "One. Two."), ("<nav><li>Skip</p><li>this</nav>One.", "One."),
+    ],
+)
+def test_left_out_end_tags_end_what_is_skipped(inner, want):
+    assert html_text.main_text(f"<body><article>{inner}</article><p>after</p></body>") == want
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<", "<script>x", "<nav>a", "&", "<p>x</p>" * 3, "<article></article>", "<a" * 500])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
