@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, fresh, small
@@ -76,6 +76,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, "doc_id long, fp long")
 
 
+def fingerprint_of(text: Column, width: int = 3, seed: int = 42) -> Column:
+    """The fingerprint of a text, as fingerprints() gives it."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(fingerprints_of(batch, width, seed).view(np.int64))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")(text)
+
+
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between a and b that connect whatever a and b's links within the radius connect."""
     parent = list(range(len(a) if same else len(a) + len(b)))
@@ -155,9 +166,12 @@ def near_groups(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42
 def drop_near_copies(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their component, with all their columns: one document of each group stays.
 
-    Rows that repeat the staying id all stay; rows with a null id stay only where all ids of their group are null.
+    A row is dropped by its id and fingerprint, so rows of other texts that share the id stay. Rows that repeat
+    the staying id all stay; rows with a null id stay only where all ids of their group are null.
     """
-    key = fresh(docs, "dropped")
+    key, fp, own = fresh(docs, "dropped"), fresh(docs, "dropped_fp"), fresh(docs, "own_fp")
     groups = near_groups(docs, radius, width, seed, id_col, text_col)
-    dropped = durable(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(small(dropped), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("fp").alias(fp))
+    dropped = small(durable(dropped.distinct()))
+    rows = docs.withColumn(own, fingerprint_of(F.col(text_col), width, seed))
+    return rows.join(dropped, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(fp)), "left_anti").select(*docs.columns)
