@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.storage import durable, shared_dir
 
-__all__ = ["durable", "fresh", "let", "normal_space", "shared_dir", "small", "table", "words"]
+__all__ = ["durable", "fresh", "let", "normal_space", "parts", "shared_dir", "small", "table", "words"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,6 +45,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts(batches: Iterable[pa.RecordBatch], most_rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, few at a time: what is made of long texts then stays small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most_rows):
+            yield batch.slice(at, most_rows)
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df, which must be durable() and narrow, to be broadcast in a join if it has at most most_rows; else as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df

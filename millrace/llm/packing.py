@@ -13,12 +13,13 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import durable
+from millrace.llm.common import durable, parts
 from millrace.llm.tokens import word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,17 +73,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
     """doc_id, piece, start, length, ids_crc32 of every document's tokens and its end id."""
     end = end_id.to_bytes(4, "little")
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["_id"], bpe.encode(batch["_text"]), strict=True):
+        for rows in parts(batches):
+            doc_ids, pieces, starts, lengths, sums = [], [], [], [], []
+            for doc_id, ids in zip(rows.column(0).to_pylist(), bpe.encode(rows.column(1).to_pylist()), strict=True):
                 ids += end
-                rows += [(doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(encode, PIECES)
+                for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    doc_ids.append(doc_id)
+                    pieces.append(k)
+                    starts.append(at)
+                    lengths.append(n)
+                    sums.append(zlib.crc32(ids[4 * at : 4 * (at + n)]))
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int, open_bins: int = 4096, look_ahead: int = 16_384, task_pieces: int = 200_000) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A table of segments is written; each row is one binary segment that can be read alone:
 
-    "MRT1", documents n and blocks m (uint32 each),
+    "MRT2", documents n and blocks m (uint32 each),
     n document ids (int64), n null marks (uint8), n numbers of ids (uint32),
     for each block its number of ids, its number of words and the crc32 of its ids (uint32 each),
-    the words of all blocks (uint16), see id_codec.
+    the words of all blocks (uint16), see id_codec,
+    the crc32 of all before it (uint32).
 
 All numbers are little-endian. A document lies within one segment, over as many blocks as it needs.
 Segments are numbered by (part, segment); within and across them documents ascend.
@@ -20,16 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import id_codec
-from millrace.llm.common import shared_dir
+from millrace.llm.common import parts, shared_dir
 from millrace.llm.tokens import word_bpe
 
-MAGIC = b"MRT1"
+MAGIC = b"MRT2"
 BLOCK = 1024
+#: Blocks that are coded side by side: their models take 28 KB each.
+LANES = 2048
 _SEGMENTS = "part long, segment long, n_tokens long, data binary"
 
 
@@ -38,46 +42,55 @@ class CorruptSegment(ValueError):
 
 
 def to_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK) -> bytes:
-    """One segment from documents' ids as little-endian uint32 bytes; ids must be below 65,536."""
+    """One segment from documents' ids as little-endian uint32 bytes; ids must be below 65,536.
+
+    Beside the segment and its ids, memory is bounded: LANES blocks are coded at a time.
+    """
     whole = np.frombuffer(b"".join(ids), "<u4")
     if len(whole) and int(whole.max()) >= 1 << 16:
         raise ValueError("ids of 65,536 and more don't fit this format")
-    blocks = [whole[at : at + block] for at in range(0, len(whole), block)]
-    words = id_codec.encode(blocks)
+    index, words = [], []
+    for first in range(0, len(whole), LANES * block):
+        blocks = [whole[at : at + block] for at in range(first, min(len(whole), first + LANES * block), block)]
+        coded = id_codec.encode(blocks)
+        index += [struct.pack("<III", len(b), len(w), zlib.crc32(b.tobytes())) for b, w in zip(blocks, coded, strict=True)]
+        words += [w.astype("<u2").tobytes() for w in coded]
     n = len(doc_ids)
-    head = [MAGIC, struct.pack("<II", n, len(blocks)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), bytes(x is None for x in doc_ids), np.array([len(x) // 4 for x in ids], "<u4").tobytes()]
-    index = [struct.pack("<III", len(b), len(w), zlib.crc32(b.tobytes())) for b, w in zip(blocks, words, strict=True)]
-    return b"".join([*head, *index, *(w.astype("<u2").tobytes() for w in words)])
+    head = [MAGIC, struct.pack("<II", n, len(index)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), bytes(x is None for x in doc_ids), np.array([len(x) // 4 for x in ids], "<u4").tobytes()]
+    data = b"".join([*head, *index, *words])
+    return data + struct.pack("<I", zlib.crc32(data))
 
 
 def from_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
-    """(document id, ids as uint32) of a segment, in order; CorruptSegment if it isn't whole."""
-    try:
-        if data[:4] != MAGIC:
-            raise CorruptSegment("not a token segment")
-        n, m = struct.unpack_from("<II", data, 4)
-        at = 12
-        doc_ids = np.frombuffer(data, "<i8", n, at)
-        null = np.frombuffer(data, np.uint8, n, at + 8 * n)
-        counts = np.frombuffer(data, "<u4", n, at + 9 * n)
-        index = np.frombuffer(data, "<u4", 3 * m, at + 13 * n).reshape(m, 3).astype(np.int64)
-        words = np.frombuffer(data, "<u2", int(index[:, 1].sum()), at + 13 * n + 12 * m)
-    except (ValueError, struct.error) as e:
-        raise CorruptSegment(str(e)) from e
+    """(document id, ids as uint32) of a segment, in order; CorruptSegment if a byte of it isn't as written."""
+    if data[:4] != MAGIC or len(data) < 16:
+        raise CorruptSegment("not a token segment")
+    if zlib.crc32(memoryview(data)[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
+        raise CorruptSegment("the segment fails its checksum")
+    n, m = struct.unpack_from("<II", data, 4)
+    at = 12
+    doc_ids = np.frombuffer(data, "<i8", n, at)
+    null = np.frombuffer(data, np.uint8, n, at + 8 * n)
+    counts = np.frombuffer(data, "<u4", n, at + 9 * n)
+    index = np.frombuffer(data, "<u4", 3 * m, at + 13 * n).reshape(m, 3).astype(np.int64)
+    words = np.frombuffer(data, "<u2", int(index[:, 1].sum()), at + 13 * n + 12 * m)
     ends = np.cumsum(index[:, 1])
-    blocks = id_codec.decode([words[e - w : e] for e, w in zip(ends, index[:, 1], strict=True)], index[:, 0].tolist()) if m else []
-    blocks = [b.astype("<u4") for b in blocks]
-    for k, b in enumerate(blocks):
-        if zlib.crc32(b.tobytes()) != index[k, 2]:
-            raise CorruptSegment(f"block {k} fails its checksum")
-    whole = np.concatenate(blocks) if blocks else np.zeros(0, "<u4")
+    whole = np.empty(int(index[:, 0].sum()), "<u4")
+    at = 0
+    for first in range(0, m, LANES):
+        chosen = range(first, min(m, first + LANES))
+        for k, ids in zip(chosen, id_codec.decode([words[ends[k] - index[k, 1] : ends[k]] for k in chosen], index[first : first + LANES, 0].tolist()), strict=True):
+            whole[at : at + len(ids)] = ids
+            if zlib.crc32(whole[at : at + len(ids)].tobytes()) != index[k, 2]:
+                raise CorruptSegment(f"block {k} fails its checksum")
+            at += len(ids)
     if int(counts.sum()) != len(whole):
         raise CorruptSegment("documents and blocks differ in size")
-    at = np.cumsum(counts) - counts
-    return [(None if z else int(d), whole[a : a + c]) for d, z, a, c in zip(doc_ids, null, at, counts, strict=True)]
+    starts = np.cumsum(counts.astype(np.int64)) - counts
+    return [(None if z else int(d), whole[a : a + c]) for d, z, a, c in zip(doc_ids, null, starts.tolist(), counts.tolist(), strict=True)]
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segment_tokens: int = 7_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segment_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends end_id and writes segments, of about segment_tokens ids or one document, to path.
 
     Null texts count as empty. Documents are dealt by ranges of their id and sorted by it;
@@ -86,18 +99,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segme
     """
     end = end_id.to_bytes(4, "little")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = word_bpe(vocabulary), TaskContext.get().partitionId()
         number, size = 0, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
 
-        def made() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "segment": [number], "n_tokens": [size], "data": [to_segment(doc_ids, ids)]})
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": [part], "segment": [number], "n_tokens": [size], "data": [to_segment(doc_ids, ids)]})
 
-        for batch in batches:
-            for doc_id, x in zip(batch["_id"].astype("Int64"), bpe.encode(batch["_text"]), strict=True):
-                doc_ids.append(None if doc_id is pd.NA else int(doc_id))
+        for rows in parts(batches):
+            for doc_id, x in zip(rows.column(0).to_pylist(), bpe.encode(rows.column(1).to_pylist()), strict=True):
+                doc_ids.append(doc_id)
                 ids.append(x + end)
                 size += len(x) // 4 + 1
                 if size >= segment_tokens:
@@ -107,7 +120,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segme
             yield made()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInPandas(run, _SEGMENTS).write.parquet(path)
+    rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInArrow(run, _SEGMENTS).write.parquet(path)
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:

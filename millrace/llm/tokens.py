@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import gc
-import itertools
+import json
 import os
 import re
 from array import array
@@ -24,45 +24,110 @@ _WIDE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Stretches longer than this are not kept.
 _KEPT_CHARS = 64
-
-
 #: Characters of texts that are split at a time.
 _AT_ONCE = 1_000_000
+#: Texts of one call of the library, whose results are large beside their ids.
+_CALL = 250
+#: Letters, then marks: what any Unicode version takes for a word and a run of marks, the two parts of such a stretch.
+_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+)([!-&(-/:-@\[-`{-~]*)")
+#: What a kept stretch takes beside its characters and ids: two objects and its place in the dictionary.
+_ENTRY_BYTES = 170
+#: Bits of hash that tell whether a stretch was missed before.
+_MISSED_BITS = 20
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level models write each byte: visible ones of Latin-1 as themselves, the rest from U+0100 on, in order."""
+    others = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: 256 + k for k, b in enumerate(others)}
 
 
 class WordBpe:
     """ids of whole texts as little-endian uint32 bytes, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    limit bounds the stretches kept: once there are so many no more are added, and after ten
-    times as many others have come, collecting starts anew. Strings of special tokens are ordinary text.
+    Strings of special tokens get their own id, as in that call: texts are split at them first.
+    limit_bytes bounds the stretches kept. A stretch is kept when it is missed the second time, as most are
+    seen once; once the room is used up no more are added, and after ten times as many misses collecting starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit_bytes: int = 64_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit, self.missed = limit, 0
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        # Tokens that take white space along, or stand alone only, can't be split off by their string.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        # Simple stretches go straight to the model, past the steps whose result is known.
+        self.direct = parts["normalizer"] is None and parts["post_processor"] is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.limit_bytes = limit_bytes
+        self._clear()
+
+    def _clear(self) -> None:
         self.kept: dict[str, bytes] = {}  # of stretches with a space before them
+        self.used = self.missed = 0
+        self.before = bytearray(1 << _MISSED_BITS)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # what is made here holds no cycles
         try:
-            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            parts = [texts[k : k + _CALL] for k in range(0, len(texts), _CALL)]
+            return [array("I", x.ids).tobytes() for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         finally:
             if collecting:
                 gc.enable()
 
+    def _stretches(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch with a space before it."""
+        if not self.direct:
+            return self._direct([f" {x}" for x in stretches])
+        out, others, simple, tokenize = [], [], _SIMPLE.fullmatch, self.model.tokenize
+        for x in stretches:
+            if found := simple(x):
+                word, marks = found.groups()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in tokenize("\u0120" + word)]
+                if marks:
+                    ids += [t.id for t in tokenize(marks)]
+                out.append(array("I", ids).tobytes())
+            else:
+                others.append(x)
+                out.append(b"")
+        if others:
+            rest = iter(self._direct([f" {x}" for x in others]))
+            out = [ids or next(rest) for ids in out]
+        return out
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """One result per text, in order; b"" for null and empty texts."""
         held, size = [], 0
         for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
+            text = text or ""
+            if self.specials and self.specials.search(text):
+                yield from self._encode(held)
+                held, size = [], 0
+                yield self._around_specials(text)
+                continue
+            held.append(text)
+            size += len(text)
             if size >= _AT_ONCE:
                 yield from self._encode(held)
                 held, size = [], 0
         yield from self._encode(held)
 
+    def _around_specials(self, text: str) -> bytes:
+        if not self.plain:
+            return self._direct([text])[0]
+        parts = self.specials.split(text)
+        parts[::2] = self._encode(parts[::2])
+        parts[1::2] = map(self.special.__getitem__, parts[1::2])
+        return b"".join(parts)
+
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         split = []
         for text in texts:
@@ -85,7 +150,7 @@ class WordBpe:
                     at.append(k - 1)
             gaps.append(at)
         missing = list({x[k] for x, at in zip(split, gaps, strict=True) for k in at})
-        fresh = dict(zip(missing, self._direct([f" {x}" for x in missing]), strict=True)) if missing else {}
+        fresh = dict(zip(missing, self._stretches(missing), strict=True)) if missing else {}
         for head, x, ids, at in zip(heads, split, found, gaps, strict=True):
             for k in at:
                 ids[k] = fresh[x[k]]
@@ -95,15 +160,21 @@ class WordBpe:
 
     def _keep(self, fresh: dict[str, bytes]) -> None:
         self.missed += len(fresh)
-        if self.missed > 10 * self.limit:
-            self.kept, self.missed = {}, 0
-        room = self.limit - len(self.kept)
-        if len(fresh) > room or any(len(x) > _KEPT_CHARS for x in fresh):
-            fresh = dict(itertools.islice(((k, v) for k, v in fresh.items() if len(k) <= _KEPT_CHARS), max(0, room)))
-        self.kept.update(fresh)
+        if self.missed * _ENTRY_BYTES > 10 * self.limit_bytes:
+            self._clear()
+        before, mask = self.before, (1 << _MISSED_BITS) - 1
+        for x, ids in fresh.items():
+            if self.used >= self.limit_bytes:
+                break
+            at = hash(x) & mask
+            if not before[at]:
+                before[at] = 1
+            elif len(x) <= _KEPT_CHARS:
+                self.kept[x] = ids
+                self.used += _ENTRY_BYTES + len(x) * (1 if x.isascii() else 3) + len(ids)
 
 
 @functools.cache
 def word_bpe(path: str) -> WordBpe:
-    """One a worker process and vocabulary."""
+    """One a worker process and vocabulary: what tasks keep from each other is bounded, see WordBpe."""
     return WordBpe(path)

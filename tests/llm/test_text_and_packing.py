@@ -22,9 +22,7 @@ def some_texts(n, seed=1):
 
 
 def reference_ids(texts):
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [x.ids for x in Tokenizer.from_file(BPE).encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -94,9 +92,13 @@ def test_articles_of_the_test_pages(spark):
         assert found[r.page_id] == " ".join(h.unescape(re.sub("<[^>]+>", lambda m: " " if m[0].strip("</>") in ("p", "h1", "br") else "", inner)).split())
 
 
-@pytest.mark.parametrize("limit", [3, 100_000])
+@pytest.mark.parametrize("limit", [400, 20_000_000])
 def test_word_cache_gives_the_library_s_ids(limit):
-    bpe, texts = WordBpe(BPE, limit=limit), [*some_texts(1500), None, "y" * 300, "long " * 50]
+    r = random.Random(3)
+    words = [" ".join("".join(r.choice("abcéßABſſĀ'’,.&-_1ðŁ") for _ in range(r.randint(1, 6))) for _ in range(60)) for _ in range(200)]
+    texts = [*some_texts(1500), None, "y" * 300, "long " * 50, *words, *words, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  c", "<|endoftext", "don't I'll we're, it's' O'x"]
+    bpe = WordBpe(BPE, limit_bytes=limit)
+    assert bpe.used <= limit + 1000
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == reference_ids(texts)
 
 
@@ -153,14 +155,25 @@ def test_segments_tell_damage():
     data = token_files.to_segment([1, None, 3], [np.arange(5, dtype="<u4").tobytes(), b"", np.full(300, 7, "<u4").tobytes()], block=64)
     assert [(d, len(x)) for d, x in token_files.from_segment(data)] == [(1, 5), (None, 0), (3, 300)]
     assert token_files.from_segment(token_files.to_segment([], [])) == []
-    for bad in (b"nope" + data[4:], data[:-40], data[:-1] + bytes([data[-1] ^ 255]), data[:80] + bytes([data[80] ^ 1]) + data[81:]):
+    for k in range(len(data)):
         with pytest.raises(token_files.CorruptSegment):
-            if token_files.from_segment(bad) == token_files.from_segment(data):
-                raise token_files.CorruptSegment("damage beyond the last code")
+            token_files.from_segment(data[:k] + bytes([data[k] ^ (1 << k % 8)]) + data[k + 1 :])
+    for bad in (b"", b"nope" + data[4:], data[:-40], data[:10]):
+        with pytest.raises(token_files.CorruptSegment):
+            token_files.from_segment(bad)
     with pytest.raises(ValueError):
         token_files.to_segment([1], [np.array([1 << 16], "<u4").tobytes()])
 
 
+def test_long_texts_are_coded_few_blocks_at_a_time(monkeypatch):
+    monkeypatch.setattr(token_files, "LANES", 3)
+    coded = []
+    monkeypatch.setattr(id_codec, "encode", lambda blocks, f=id_codec.encode: coded.append(len(blocks)) or f(blocks))
+    ids = np.random.default_rng(1).integers(0, 50_000, 1000).astype("<u4")
+    data = token_files.to_segment([7, 8], [ids[:990].tobytes(), ids[990:].tobytes()], block=64)
+    assert max(coded) == 3 and np.concatenate([x for _, x in token_files.from_segment(data)]).tolist() == ids.tolist()
+
+
 def test_token_files_in_order(spark):
     rows = [(3, "a b"), (1, None), (2, "c " * 700), (3, "a b"), (None, "z")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, part int")
