@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.storage import durable, shared_dir
 
-__all__ = ["durable", "fresh", "let", "normal_space", "parts", "shared_dir", "small", "table", "words"]
+__all__ = ["durable", "fresh", "join_hot", "let", "normal_space", "parts", "shared_dir", "small", "table", "words"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -55,3 +55,16 @@ def parts(batches: Iterable[pa.RecordBatch], most_rows: int = 500) -> Iterator[p
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df, which must be durable() and narrow, to be broadcast in a join if it has at most most_rows; else as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+    """left.join(right, key, how), where right has one row a key and counts, in `rows`, how many of left have it.
+
+    right must be durable(). Keys of over `hot` rows, one in as many rows of left at most, are joined by
+    broadcast, so that their rows stay spread out; the others meet by key.
+    """
+    few = right.where(F.col(rows) > hot)
+    if few.isEmpty():
+        return left.join(right, key, how)
+    few = small(few)
+    return left.join(few.select(key), key, "left_anti").join(right, key, how).unionByName(left.join(few, key))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import durable, fresh, normal_space, small
+from millrace.llm.common import durable, fresh, join_hot, normal_space, small
 
 
 def sha256_hex(text: Column) -> Column:
@@ -66,7 +66,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = durable(winners.withColumn("_texts", texts).select("_digest", F.when(F.col("_texts") > 1, F.col("_text")).alias("_clash"), F.col("_id").alias("_keep"), "_n"))
 
     clashing = winners.where(F.col("_clash").isNotNull())
-    found = narrow.join(winners.where(F.col("_clash").isNull()).drop("_clash"), "_digest", "left")
+    # A hot group has one digest in all its rows: it is joined where they lie.
+    found = join_hot(narrow, winners.where(F.col("_clash").isNull()).drop("_clash"), "_digest", "_n", "left")
     if not clashing.isEmpty():
         apart = rows.join(clashing.withColumnRenamed("_clash", "_text"), ["_digest", "_text"]).select(*found.columns)
         found = found.join(clashing.select("_digest").distinct(), "_digest", "left_anti").unionByName(apart)

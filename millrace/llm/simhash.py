@@ -11,32 +11,44 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, fresh, small
+from millrace.llm.common import durable, fresh, join_hot, parts, small
 from millrace.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 QUARTERS, QUARTER_BITS = 4, 16
-#: Bits of fingerprint that one pass over a block of shingle hashes counts.
-_HASHES_AT_ONCE = 1 << 18
+#: Hashes whose bits one pass counts, and bytes of a long text that are cut into words at a time.
+_HASHES_AT_ONCE = 1 << 17
+_BYTES_AT_ONCE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
-    """XXH64 of every shingle of a text, repeats included; of the whole sequence where words are few; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return []
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> Iterator[list[int]]:
+    """XXH64 of every shingle of a text, repeats included, in lists of bounded size; of the whole sequence where words are few; none without words."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
     h = functools.partial(xxhash.xxh64_intdigest, seed=seed)
-    if len(words) < width:
-        return [h(b" ".join(words))]
-    return list(map(h, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))))
+    at, n, before = 0, len(data), []
+    while at < n:
+        end = n
+        if n - at > _BYTES_AT_ONCE and (space := _SPACE.search(data, at + _BYTES_AT_ONCE)):
+            end = space.start()
+        words = before + data[at:end].split()
+        if len(words) >= width:
+            yield list(map(h, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))))
+        elif words and at == 0 and end == n:
+            yield [h(b" ".join(words))]
+        elif words and end == n and not data[:at].split(None, width)[width - 1 :]:
+            yield [h(b" ".join(words))]  # white space fills all but few words of a long text
+        before, at = words[1 - width :] if width > 1 else [], end
 
 
 def fingerprints_of(texts: Iterable[str | None], width: int = 3, seed: int = 42) -> np.ndarray:
@@ -53,12 +65,11 @@ def fingerprints_of(texts: Iterable[str | None], width: int = 3, seed: int = 42)
         held.clear(), starts.clear(), owners.clear()
 
     for k, text in enumerate(texts):
-        hashes = shingle_hashes(text, width, seed)
-        n[k] = len(hashes)
-        for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        for hashes in shingle_hashes(text, width, seed):
+            n[k] += len(hashes)
             starts.append(len(held))
             owners.append(k)
-            held += hashes[at : at + _HASHES_AT_ONCE]
+            held += hashes
             if len(held) >= _HASHES_AT_ONCE:
                 count()
     if held:
@@ -69,22 +80,24 @@ def fingerprints_of(texts: Iterable[str | None], width: int = 3, seed: int = 42)
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the unsigned fingerprint as a signed long) of every row; null texts have no words."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["_id"].astype("Int64"), "fp": fingerprints_of(batch["_text"], width, seed).view(np.int64)})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts(batches):
+            fps = fingerprints_of(rows.column(1).to_pylist(), width, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def fingerprint_of(text: Column, width: int = 3, seed: int = 42) -> Column:
     """The fingerprint of a text, as fingerprints() gives it."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(fingerprints_of(batch, width, seed).view(np.int64))
+            each = [fingerprints_of(batch.slice(k, 500).to_pylist(), width, seed) for k in range(0, len(batch), 500)]
+            yield pa.array(np.concatenate(each).view(np.int64) if each else [], pa.int64())
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "long")(text)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "long")(text)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +131,12 @@ def _near_tiles(radius: int) -> list[list[int]]:
     return [list(d) for d in near if d >= (0,) * QUARTERS]
 
 
-def links(fps: DataFrame, radius: int, block: int = 4096) -> DataFrame:
+def dealt_blocks(sizes: DataFrame) -> DataFrame:
+    """tile, block of every block of sizes (tile, blocks)."""
+    return sizes.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+
+def links(fps: DataFrame, radius: int, block: int = 8192) -> DataFrame:
     """Links (a, b) between distinct fingerprints of fps (fp) that connect all pairs within the radius.
 
     A tile is dealt, by hash, into blocks of about `block` fingerprints, so that a hot one spreads over tasks.
@@ -131,12 +149,13 @@ def links(fps: DataFrame, radius: int, block: int = 4096) -> DataFrame:
     blocks = durable(dealt.groupBy("tile", "block").agg(F.collect_list("fp").alias("fps")))
 
     near = F.array(*[F.array(*[F.lit(x) for x in d]) for d in _near_tiles(radius)])
-    offers = blocks.select("tile", "block", F.col("fps").alias("left"), F.explode(near).alias("d"))
-    offers = offers.withColumn("to", F.zip_with("tile", "d", lambda x, y: x + y))
-    offers = offers.join(F.broadcast(sizes.withColumnRenamed("tile", "to")), "to").withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Which blocks meet is decided on their names alone; a block then moves once for each block that it meets.
+    offers = dealt_blocks(sizes).withColumn("d", F.explode(near)).withColumn("to", F.zip_with("tile", "d", lambda x, y: x + y))
+    offers = offers.join(F.broadcast(sizes.select(F.col("tile").alias("to"), F.col("blocks").alias("to_blocks"))), "to").withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1)))
     itself = F.col("to") == F.col("tile")
-    offers = offers.where(~itself | (F.col("to_block") >= F.col("block"))).select("left", (itself & (F.col("to_block") == F.col("block"))).alias("same"), "to", "to_block")
-    pairs = offers.join(blocks.select(F.col("tile").alias("to"), F.col("block").alias("to_block"), F.col("fps").alias("right")), ["to", "to_block"])
+    offers = offers.where(~itself | (F.col("to_block") >= F.col("block"))).select("tile", "block", (itself & (F.col("to_block") == F.col("block"))).alias("same"), "to", "to_block")
+    pairs = blocks.withColumnRenamed("fps", "left").join(offers, ["tile", "block"])
+    pairs = pairs.join(blocks.select(F.col("tile").alias("to"), F.col("block").alias("to_block"), F.col("fps").alias("right")), ["to", "to_block"])
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,13 +173,13 @@ def near_groups(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42
     An empty table gives no rows; other columns of docs are ignored.
     """
     found = durable(fingerprints(docs, id_col, text_col, width, seed))
-    firsts = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
     linked = components(links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     # Only fingerprints that have links move; the rest are components of their own.
-    least = linked.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
+    least = linked.join(firsts.drop("rows"), "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     moved = linked.join(least, "component").select("fp", "component_id")
-    named = durable(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = durable(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "rows"))
+    return join_hot(found, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from millrace.llm.common import join_hot
 from millrace.llm import components, licenses, queries, secret_scan, simhash, toxicity
 from tests.conftest import SF
 
@@ -43,8 +44,10 @@ def reach(ids, links):
 def test_fingerprints_equal_brute_force(monkeypatch):
     r = random.Random(1)
     texts = [None, "", " \n", "One", "ONE two", "É é a B c", *[" ".join(r.choice("a b c D e f".split()) for _ in range(r.randint(1, 80))) for _ in range(60)]]
-    for at_once in (7, 1 << 18):
+    texts += [" " * 90 + "a b", "a b" + "\n" * 90, "a" + " " * 90 + "b", " ".join("abcdefg" * 40), "x" * 500 + " y z w " + "v" * 300]
+    for at_once in (7, 40, 1 << 18):
         monkeypatch.setattr(simhash, "_HASHES_AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "_BYTES_AT_ONCE", at_once)
         assert simhash.fingerprints_of(texts).tolist() == [fingerprint(t) for t in texts]
 
 
@@ -86,6 +89,15 @@ def test_near_groups_equal_brute_force(spark):
     assert simhash.near_groups(docs_of(spark, [])).count() == 0
 
 
+def test_hot_keys_join_alike(spark):
+    left = spark.createDataFrame([(k, k % 5 if k % 2 else 7) for k in range(60)] + [(99, 8)], "id long, key long")
+    right = left.where("key <> 8").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        want = sorted(left.join(right, "key", how).collect(), key=str)
+        for hot in (1, 10, 100):
+            assert sorted(join_hot(left, right, "key", "n", how, hot).collect(), key=str) == want
+
+
 def test_near_copies_go_by_id_and_text(spark):
     """A null or reused id among near copies takes no other text of that id along."""
     near, other, third = "one two three four five six", "red green blue white black grey", "a b c d e f g h i j"
