@@ -217,6 +217,41 @@ def test_toxicity_on_held_out_texts():
         assert 0 <= score(empty) < 0.7
 
 
+def test_scores_equal_brute_force(spark):
+    """Every window of every text compressed by itself, looked up and calibrated by plain code."""
+    import zstandard
+
+    toxic, plain = labelled(150, 5)
+    model = toxicity.train(toxic, plain)
+    texts = [*toxic[:20], *plain[:20], None, "", " ., ", "a" * 50_000 + " Zorkwit!", "zorkwit " * 3000]
+
+    def size(content, word):
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=64, dict_size=len(content), min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress((b" " + word + b" ") * 3))
+
+    want = []
+    for text in texts:
+        words = {w.strip(b".,!?;:\"'()[]{}*#$%&|<>-_") for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").lower().encode())} - {b""}
+        most = -9.0
+        for w in words:
+            a, b = size(model.toxic, w), size(model.ordinary, w)
+            most = max(most, model.cells.get((a, b - a, len(w)), model.cells.get((a, b - a), -9.0)))
+        want.append([model.prior, *(share for odds, share in model.steps if odds <= most)][-1])
+    rows = docs_of(spark, list(enumerate(texts))).select("doc_id", toxicity.score_of(F.col("text"), model).alias("s")).collect()
+    assert [r.s for r in sorted(rows)] == want and len({x >= 0.7 for x in want}) == 2
+
+
+def test_all_that_tells_is_learnt():
+    r = random.Random(9)
+    insults = ["".join(r.choice("bdfgkmpqvxz") + r.choice("aiouy") for _ in range(5)) for _ in range(400)]
+    toxic, plain = labelled(300, 6)
+    toxic = [f"{t} {' '.join(r.sample(insults, 12))}" for t in toxic]
+    model = toxicity.train(toxic, plain)
+    assert len(model.toxic) > 5000 and sum(w.encode() in model.toxic for w in insults) > 380
+    assert len(toxicity.train(toxic, plain, most_bytes=500).toxic) < 3000
+
+
 def test_models_without_labels_score_alike():
     for model in (toxicity.train([], []), toxicity.train(["a"], []), toxicity.train([], ["b"])):
         assert 0 <= model.score(5.0) <= 1
