@@ -246,7 +246,7 @@ def test_all_that_tells_is_learnt():
     r = random.Random(9)
     insults = ["".join(r.choice("bdfgkmpqvxz") + r.choice("aiouy") for _ in range(5)) for _ in range(400)]
     toxic, plain = labelled(300, 6)
-    toxic = [f"{t} {' '.join(r.sample(insults, 12))}" for t in toxic]
+    toxic = [f"{t} {' '.join(r.sample(insults, 40))}" for t in toxic]
     model = toxicity.train(toxic, plain)
     assert len(model.toxic) > 5000 and sum(w.encode() in model.toxic for w in insults) > 380
     assert len(toxicity.train(toxic, plain, most_bytes=500).toxic) < 3000
