@@ -70,6 +70,65 @@ def test_left_out_end_tags_end_what_is_skipped(inner, want):
     assert html_text.main_text(f"<body><article>{inner}</article><p>after</p></body>") == want
 
 
+LONG = "Words of the story that go on for a while, as stories do. " * 3
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_windows_decide_within_content_too(tag):
+    """A run of mere links dives and parts the text; a single one amid text doesn't."""
+    links = "".join(f"<p><a href=/x{k}/>More about {k}</a></p>" for k in range(5))
+    page = f"<body><{tag}><p>{LONG}</p><p><a href='/s'>The source</a></p><p>{LONG}</p>{links}<p>{LONG}</p></{tag}></body>"
+    assert html_text.main_text(page) == " ".join([LONG.strip(), "The source", LONG.strip(), LONG.strip()])
+
+
+def test_long_text_outside_a_named_element_counts_if_it_surges():
+    for n, want in ((1, False), (20, True)):
+        page = f"<body><div><p>{'Outside text. ' * 4 * n}</p></div><article><p>{LONG}</p></article></body>"
+        assert ("Outside" in html_text.main_text(page)) == want
+
+
+@pytest.mark.parametrize("fragment", ["<p class='social-science'>A paper on society.</p>", "<div class='widget-review'>The widget works well.</div>", "<div id='ad-hoc-committee'>A committee met.</div>"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_that_only_hint_keep_text(tag, fragment):
+    import re
+
+    assert re.sub("<[^>]+>", "", fragment) in html_text.main_text(f"<body><{tag}><p>{LONG}</p>{fragment}<p>{LONG}</p></{tag}></body>")
+    linked = re.sub(">([^<]+)<", r"><a href='/'>\1</a><", fragment, count=1)
+    assert html_text.main_text(f"<body><{tag}><p>{LONG}</p>{linked}<p>{LONG}</p></{tag}></body>") == f"{LONG}{LONG}".strip()
+
+
+@pytest.mark.parametrize("name", ["title", "iframe", "svg", "object", "noscript", "canvas"])
+def test_elements_without_end_do_not_take_the_page_along(name):
+    assert html_text.main_text(f"<body><{name}><article><p>{LONG}</p></article></body>") == LONG.strip()
+
+
+def test_pages_of_another_style_equal_brute_force():
+    """Pages without any content element: what was put in as text comes out, whatever furniture stands around it."""
+    r = random.Random(8)
+    furniture = [
+        "<div class='top-bar'><a href='/'>Home</a><a href='/n'>News</a></div>", "<div id='sidebar'><h3>Popular</h3><p>Something else to read that is rather long, as teasers are.</p></div>",
+        "<div class='cookie-notice'>We use cookies to make this site better for everyone who visits.</div>", "<ul class='menu'><li>One<li>Two</ul>", "<form><label>Mail</label><input></form>",
+        "<div class=ad-slot>Buy this wonderful thing now, at half the price of last week's offer!</div>", "<script>var x = '<p>no</p>';</script>", "<div class='comments'><p>First! I disagree with all of it.</p></div>",
+    ]
+    for _ in range(60):
+        want, page = [], ["<html><head><title>T</title></head><body><div class='page'>"]
+        for _ in range(r.randint(1, 4)):
+            page += r.choices(furniture, k=r.randint(0, 3))
+            page.append("<div class='story-text'>")
+            for _ in range(r.randint(1, 5)):
+                text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(r.randint(15, 60)))
+                want.append(text)
+                page.append(r.choice(("<p>{}</p>", "<div>{}</div>", "<p>{}", "<blockquote><p>{}</p></blockquote>")).format(text.replace(" ", r.choice((" ", "\n  ", " <b></b>")))))
+            page.append("</div>")
+        page += [*r.choices(furniture, k=2), "</div></body></html>"]
+        assert html_text.main_text("".join(page)) == " ".join(want)
+
+
+def test_very_long_pages():
+    page = "<article>" + "<p>Some text &amp; more.</p>" * 60_000 + "</article>"
+    assert html_text.main_text(page) == " ".join(["Some text & more."] * 60_000)
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<", "<script>x", "<nav>a", "&", "<p>x</p>" * 3, "<article></article>", "<a" * 500])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
