@@ -1,6 +1,8 @@
 """License scans: Dice coefficient over word bigrams of passages and licence templates.
 
-A passage is a line, or a run of lines between blank ones. Of n template bigrams a passage at
+A passage is a line, a run of lines between blank ones, a sentence, or the whole text. It names the licence whose template is
+most like it, among those with the same deciding words: versions, and words such as "lesser" or
+"noncommercial". Of n template bigrams a passage at
 the threshold t has at least n * t / (2 - t), and at most n * (2 - t) / t of its own: templates outside those
 bounds are pruned by size. As many bigrams must be shared that, in every template, one with
 a stem of _stems() is among them: texts without any stem are not split at all, losslessly.
@@ -45,9 +47,28 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Released under the Creative Commons CC0 1.0 Universal License."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
 ]
+#: Words that tell licences of one family apart (fixed values) and versions, as "v3" or "3"; "0" tells nothing.
+DECIDING = "lesser|library|affero|noncommercial|noderivatives|noderivs|sharealike|nc|nd|sa|later|endorse|[1-9]"
 #: Word starts, one of which is in most bigrams that tell licences apart.
-STEMS = ["licen", "creativ", "common", "gnu", "cc", "permission", "softwar", "copy", "copie", "general", "public", "version", "releas", "term", "distribut", "redistribut", "modif", "subject", "condition", "free", "person", "right", "includ", "limit", "file", "associat", "document", "bsd", "clause"]
+STEMS = ["licen", "creativ", "common", "gnu", "cc", "permission", "softwar", "copy", "copie", "general", "public", "version", "releas", "term", "distribut", "redistribut", "modif", "reserv", "subject", "condition", "free", "person", "right", "includ", "limit", "file", "associat", "document", "bsd", "clause", "sourc", "contribut", "endors", "promot", "deriv", "written", "binar"]
 
 
 def normal_words(text: str) -> list[str]:
@@ -60,6 +81,10 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{x} {y}" for x, y in zip(w, w[1:], strict=False)} or set(w))
 
 
+def deciding_words(text: str) -> list[str]:
+    return sorted({x for w in normal_words(text) if re.fullmatch(DECIDING, x := re.sub("^v(?=[0-9])", "", w))})
+
+
 @functools.cache
 def _stems(threshold: float) -> list[str]:
     """Stems such that every template has more bigrams with one than a passage at the threshold may lack."""
@@ -77,39 +102,54 @@ def _stems(threshold: float) -> list[str]:
     return used
 
 
-def _bigrams(passage: Column) -> Column:
-    normal = F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " "))
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.slice(w, 2, F.size(w)), lambda y, k: F.concat_ws(" ", F.get(w, k), y))).otherwise(w)
-    return F.array_distinct(let(F.split(normal, " "), pairs))
+def _words(passage: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " ")), " ")
+
+
+def _bigrams(w: Column) -> Column:
+    pairs = F.when(F.size(w) > 1, F.transform(F.slice(w, 2, F.size(w)), lambda y, k: F.concat_ws(" ", F.get(w, k), y))).otherwise(w)
+    return F.array_distinct(pairs)
+
+
+def _deciding(w: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.transform(w, lambda x: F.regexp_replace(x, "^v(?=[0-9])", "")), lambda x: x.rlike(f"^(?:{DECIDING})$"))))
 
 
 def licenses(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, matches (array of license, dice, passage) of every row; the best template of a licence per passage.
+    """doc_id, matches (array of license, dice, passage) of every row: the licence most like a passage, one at most each.
 
-    Null and empty texts have none. A passage may match several licences; equal passages of
-    a document count once. Repeated rows get equal results; an empty table gives no rows.
+    Null and empty texts have none. Of equal Dice, the licence whose name comes first is taken; equal passages of
+    a document count once. Texts of any length are scanned whole. Repeated rows get equal results; an empty table gives no rows.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     stem = "(?<![a-z0-9])(?:" + "|".join(_stems(threshold)) + ")"
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    grams = sorted((name, bigrams_of(t), deciding_words(t)) for name, t in TEMPLATES)
     lines = F.split(text, "\n")
-    blocks = F.filter(F.split(text, r"\n[\x20\x09-\x0D]*\n"), lambda b: b.contains("\n"))
-    passages = F.filter(F.array_distinct(F.concat(lines, blocks)), lambda p: F.lower(p).rlike(stem))
-    kinds: dict[str, list[list[str]]] = {}
-    for name, template in TEMPLATES:
-        kinds.setdefault(name, []).append(bigrams_of(template))
-
-    def dice(found: Column, grams: list[str]) -> Column:
-        n, size = len(grams), F.size(found)
-        shared = F.size(F.array_intersect(found, F.array(*map(F.lit, grams))))
-        fits = size.between(math.ceil(n * least - 1e-9), math.floor(n * most + 1e-9))
-        return F.when(fits, F.round(2 * shared / (size + n), 6)).otherwise(F.lit(0.0))
+    blocks = F.split(text, r"\n[\x20\x09-\x0D]*\n")
+    sentences = F.split(F.regexp_replace(text, r"([.!?:;])[\x20\x09-\x0D]+([A-Z(*])", "$1\x01$2"), "\x01")
+    passages = F.filter(F.array_distinct(F.concat(lines, blocks, sentences, F.array(text))), lambda p: F.lower(p).rlike(stem))
+
+    def dice(found: Column, template: list[str]) -> Column:
+        shared = F.size(F.array_intersect(found, F.array(*map(F.lit, template))))
+        return F.round(2 * shared / (F.size(found) + len(template)), 6)
+
+    def bounded(found: Column, template: list[str]) -> Column:
+        return F.size(found).between(math.ceil(len(template) * least - 1e-9), math.floor(len(template) * most + 1e-9))
+
+    names = sorted({name for name, _, _ in grams})
 
     def judged(passage: Column) -> Column:
-        best = lambda g: F.array(*[F.struct(F.lit(name).alias("license"), F.array_max(F.array(*[dice(g, t) for t in ts])).alias("dice"), passage.alias("passage")) for name, ts in kinds.items()])
-        return F.filter(let(_bigrams(passage), best), lambda m: m["dice"] >= threshold)
+        def best(x: Column) -> Column:
+            found, decides = x["grams"], x["decides"]
+            same = lambda d: decides == F.array(*map(F.lit, d)).cast("array<string>")
+            each = [F.when(bounded(found, g) & same(d), F.struct(dice(found, g).alias("dice"), F.lit(-names.index(name)).alias("rank"), F.lit(name).alias("license"))) for name, g, d in grams]
+            return F.array_max(F.filter(F.array(*each), lambda m: m.isNotNull()))
+
+        known = let(_words(passage), lambda w: F.struct(_bigrams(w).alias("grams"), _deciding(w).alias("decides")))
+        return let(let(known, best), lambda m: F.when(m["dice"] >= threshold, F.struct(m["license"].alias("license"), m["dice"].alias("dice"), passage.alias("passage"))))
 
-    found = F.flatten(F.transform(passages, judged))
+    found = F.filter(F.transform(passages, judged), lambda m: m.isNotNull())
     nothing = F.array().cast("array<struct<license:string,dice:double,passage:string>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     return rows.select("doc_id", F.when(F.lower(text).rlike(stem), found).otherwise(nothing).alias("matches"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import let, words
 
 # What a line of prose may end with, and phrases of page furniture (lower case).
-ENDINGS = ".!?:;…\"'”’»)]"
+ENDINGS = ".!?:;…\"'”’»)]؟۔।॥።。！？：；」』）"
 BOILERPLATE = [
     "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of service",
     "terms of use", "subscribe to our", "sign up for", "click here", "read more", "share this",
@@ -66,7 +66,7 @@ def line_fails(line: Column, furnished: Column) -> Column:
 
     furnished: whether any line of the text may hold a phrase of BOILERPLATE.
     """
-    text = F.trim(line)
+    text = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     n = F.length(text)
     n_words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit("")))
     count = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))

@@ -85,7 +85,7 @@ rep AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, gra
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 trimmed AS (
-    SELECT doc_id, line, trim(line, ' ') AS t, len(list_filter(regexp_split_to_array(trim(line, ' '), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+    SELECT doc_id, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid FROM lines),
 judged AS (
     SELECT doc_id, line, solid, length(t) > 0 AND (
@@ -108,19 +108,24 @@ FROM f
 """.replace("ENDINGS", quality.ENDINGS.replace("'", "''")).replace("BOILERPLATE", "|".join(quality.BOILERPLATE))
 
 OP9_SQL = r"""
-WITH t(license, grams) AS (VALUES TEMPLATES),
+WITH t(license, grams, decides) AS (VALUES TEMPLATES),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
     SELECT r, unnest(string_split(text, chr(10))) AS passage FROM d
-    UNION SELECT r, passage FROM (SELECT r, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) AS passage FROM d) WHERE contains(passage, chr(10))),
+    UNION SELECT r, unnest(regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n')) AS passage FROM d
+    UNION SELECT r, unnest(string_split(regexp_replace(text, '([.!?:;])[\x20\x09-\x0D]+([A-Z(*])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS passage FROM d
+    UNION SELECT r, text FROM d),
 w AS (SELECT DISTINCT r, passage, string_split(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM split),
-g AS (SELECT r, passage, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM w),
+g AS (
+    SELECT r, passage, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g,
+        list_sort(list_distinct(list_filter(list_transform(w, lambda x: regexp_replace(x, '^v([0-9])', '\1')), lambda x: regexp_full_match(x, 'DECIDING')))) AS decides FROM w),
 dice AS (
-    SELECT r, passage, license, max(round(2 * len(list_intersect(g, grams)) / (len(g) + len(grams)), 6)) AS dice FROM g, t
-    WHERE list_has_any(g, grams) GROUP BY r, passage, license),
-m AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS best FROM dice WHERE dice >= 0.8 GROUP BY r)
+    SELECT r, passage, license, round(2 * len(list_intersect(g, grams)) / (len(g) + len(grams)), 6) AS dice FROM g JOIN t
+    ON list_has_any(g, grams) AND (t.decides = g.decides)),
+best AS (SELECT * FROM dice WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY r, passage ORDER BY dice DESC, license) = 1),
+m AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS l, max(dice) AS best FROM best GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(l, '') AS licenses, coalesce(best, 0.0)::DOUBLE AS best_dice FROM d LEFT JOIN m USING (r)
-""".replace("TEMPLATES", ", ".join(f"('{name}', {licenses.bigrams_of(text)})" for name, text in licenses.TEMPLATES))
+""".replace("TEMPLATES", ", ".join(f"('{name}', {licenses.bigrams_of(text)}, {licenses.deciding_words(text)}::VARCHAR[])" for name, text in licenses.TEMPLATES)).replace("DECIDING", licenses.DECIDING)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,

@@ -98,3 +98,18 @@ def test_lines_are_judged_first(spark):
     rows = {r.doc_id: r for r in quality.quality(docs_of(spark, [(1, prose), (2, prose + "\nHome | About\nAll rights reserved."), (3, menu + "\n" + prose), (4, odd)])).collect()}
     assert [rows[k].kept for k in (1, 2, 3, 4)] == [True, True, False, False]
     assert rows[2].clean_text == prose and rows[1].lost_chars == 0
+
+
+def test_line_ends_do_not_change_a_verdict(spark):
+    word = lambda k, letters: "".join(letters[(k * 7 + j * 3 + k // 5) % len(letters)] for j in range(2 + k % 5))
+    lines = lambda letters, end: "\n".join(" ".join(word(12 * n + j * j, letters) for j in range(10)) + end for n in range(12))
+    prose, scripts = lines("abcdefghijklmnopq", "."), {"ar": lines("ابتثجحخدذرزس", "؟"), "hi": lines("कखगघचछजझटठ", "।"), "zh": lines("这是文本的第行字词句", "。")}
+    rows = [(k, t) for k, t in enumerate([prose, prose.replace("\n", "\r\n"), prose.replace("\n", "\t\n"), *scripts.values()])]
+    found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {found[k].kept for k in range(3)} == {True} and {r.lost_chars for r in found.values()} == {0}
+
+
+def test_very_long_texts_of_one_line(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(60_000)) + "."), (2, "x" * 300_000)]
+    found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1].n_words, found[1].kept, found[2].n_words, found[2].base_failed) == (60_000, True, 1, True)
