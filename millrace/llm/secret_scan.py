@@ -35,8 +35,10 @@ _KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za
 _NAMES = "|".join(sorted(map(re.escape, SECRET_WORDS), key=len, reverse=True))
 _OTHERS = "|".join(sorted(map(re.escape, OTHER_WORDS), key=len, reverse=True))
 _VALUE = r"[A-Za-z0-9+/_=.~!@%^-]"
+#: The password of an address, in group 1, and what stands before it.
+_OF_ADDRESS, _BEFORE_ADDRESS = r"://[^/:@\s]*:([^/@\s]{4,})@", r"://[^/:@\s]*:$"
 #: The secrets within a word, in group 1: after name and sign, or of a known form, or long codes; of those without a digit none.
-_PATTERNS = [rf"(?i:{_NAMES})[\"']?[=:][\"']?({_VALUE}{{8,}})", rf"({_KNOWN})", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})"]
+_PATTERNS = [rf"(?i:{_NAMES})[\"']?[=:][\"']?({_VALUE}{{8,}})", rf"({_KNOWN})", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})", _OF_ADDRESS]
 #: A secret after a name and a sign that stand apart from it, in group 1; of its word with the two words before.
 _APART = rf"(?i:{_NAMES})[\"']?\x20?[=:]{{1,2}}>?\x20?[\"'`({{\[]*({_VALUE}{{8,}})[^\x20]*$"
 #: The names and signs that a value of a word stands directly behind.
@@ -97,12 +99,13 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
     apart = lambda name: r.choice((f"{some().split()[0]} {name}:", f"{name} =", f"{name} :", f'{some().split()[0]} "{name}":', f"- {name}="))
     leet = lambda: r.choice(DICTIONARY).capitalize().translate(str.maketrans("aeios", "43105")) + pick(lower, r.randint(2, 5)) + pick(digits, r.randint(1, 3)) + pick(lower, r.randint(0, 3))
     made = []
-    for _ in range(n // 24):
+    for _ in range(n // 25):
         name = r.choice(SECRET_WORDS)
         for value, word, near, label in (
             (v := "AKIA" + pick(upper + digits, 16), v, some(), 1),
-            (v := pick(hexa, r.choice((16, 18, 20, 32))), f"{name}={v}", f"{some()} {name}", 1),
-            (v := pick(hexa, 40), f'"{v}"', f"{name} =", 1),
+            (v := pick(hexa, r.randint(12, 64)), f"{name}={v}", f"{some()} {name}", 1),
+            (v := pick(hexa, r.randint(12, 64)), f'"{v}"', f"{name} =", 1),
+            (v := r.choice((pick(alnum, r.randint(4, 16)), leet())), v, "password", 1),
             (v := pick(alnum, r.randint(20, 44)), f"{name}:{v}", f"{some()} {name}", 1),
             (v := "ghp_" + pick(alnum, 36), v, some(), 1),
             (v := "sk_live_" + pick(alnum, 24), v, some(), 1),
@@ -113,11 +116,11 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str
             (v := leet() + r.choice("!@%^"), v, apart(name), 1),
             (v := pick(alnum + "!@%", r.randint(8, 20)), v, apart(name), 1),
             (v := pick(upper + lower, r.randint(12, 24)), v, apart(name), 1),
-            (v := pick(hexa, 40), v, f"{r.choice(OTHER_WORDS)} {r.choice(('', ':', '='))}", 0),
+            (v := pick(hexa, r.randint(12, 64)), v, f"{r.choice(OTHER_WORDS)} {r.choice(('', ':', '='))}", 0),
             (v := pick(lower, r.randint(8, 14)) + r.choice(("", "", ".", "!")), v, apart(name), 0),
             (v := pick(upper, 1) + pick(lower, r.randint(7, 12)), v, apart(name), 0),
             (v := r.choice("-._").join(pick(lower, r.randint(3, 8)) for _ in range(r.randint(2, 3))), v, apart(name), 0),
-            (v := pick(hexa, r.choice((32, 64))), f"{(o := r.choice(OTHER_WORDS))}:{v}", f"{some()} {o}", 0),
+            (v := pick(hexa, r.randint(12, 64)), f"{(o := r.choice(OTHER_WORDS))}:{v}", f"{some()} {o}", 0),
             (v := "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), v, some(), 0),
             (v := pick(digits, r.randint(16, 24)), v, some(), 0),
             (v := camel() + pick(digits, r.randint(1, 3)), v, some(), 0),
@@ -189,9 +192,9 @@ def findings(text: Column, forest: tuple) -> Column:
 
     def of_words(w: Column) -> Column:
         def values(word: Column, beside: Column) -> Column:
-            named, known, long = (F.regexp_extract_all(word, F.lit(p), F.lit(1)) for p in _PATTERNS)
+            named, known, long, address = (F.regexp_extract_all(word, F.lit(p), F.lit(1)) for p in _PATTERNS)
             apart = F.when(beside.rlike("[=:]") | word.rlike("^[=:]"), F.regexp_extract_all(F.concat_ws(" ", beside, word), F.lit(_APART), F.lit(1)))
-            return F.array_distinct(F.concat(named, F.coalesce(apart, F.array().cast("array<string>")), known, F.filter(long, lambda v: v.rlike("[0-9]"))))
+            return F.array_distinct(F.concat(named, F.coalesce(apart, F.array().cast("array<string>")), known, F.filter(long, lambda v: v.rlike("[0-9]")), address))
 
         def judged(word: Column, k: Column) -> Column:
             beside = F.concat_ws(" ", F.get(w, k - 2), F.get(w, k - 1))
@@ -199,8 +202,10 @@ def findings(text: Column, forest: tuple) -> Column:
             def judge(v: Column) -> Column:
                 # A value may stand in its word several times, each behind a name of its own: the best score counts.
                 parts = F.split(word, F.concat(F.lit(r"\Q"), v, F.lit(r"\E")))
-                nears = F.array_distinct(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat_ws(" ", beside, F.regexp_extract(p, _BEFORE, 1))))
-                score = F.array_max(F.transform(nears, lambda near: let(F.array(*_feature_columns(v, word, near)), lambda x: _vote_column(forest, x))))
+                # The password of an address is no path, and the address names it.
+                place = lambda p: F.when(p.rlike(_BEFORE_ADDRESS), F.struct(v.alias("word"), F.lit("password").alias("near"))).otherwise(F.struct(word.alias("word"), F.concat_ws(" ", beside, F.regexp_extract(p, _BEFORE, 1)).alias("near")))
+                places = F.array_distinct(F.transform(F.slice(parts, 1, F.size(parts) - 1), place))
+                score = F.array_max(F.transform(places, lambda at: let(F.array(*_feature_columns(v, at["word"], at["near"])), lambda x: _vote_column(forest, x))))
                 return F.struct(v.alias("value"), k.alias("place"), score.alias("score"))
 
             return F.transform(values(word, beside), judge)

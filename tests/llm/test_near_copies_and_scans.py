@@ -154,6 +154,52 @@ def test_values_apart_from_their_names(spark, text, want):
     assert r.secrets == ([want] if want else []) and r.redacted == (text.replace(want, "[SECRET]") if want else text)
 
 
+def test_passwords_of_addresses(spark):
+    r = secret_scan.scan(docs_of(spark, [(1, "see postgres://app:Tr0ub4dor3x@db.local:5432/main and https://example.com:8080/a@b")])).first()
+    assert r.secrets == ["Tr0ub4dor3x"] and r.redacted == "see postgres://app:[SECRET]@db.local:5432/main and https://example.com:8080/a@b"
+
+
+def brute_findings(text, forest):
+    """Candidates and scores of a text by plain code."""
+    w = re.split(r"[\x20\x09-\x0d]+", text or "")
+    out = []
+    for k, word in enumerate(w):
+        beside = " ".join(w[max(0, k - 2) : k])
+        before = w[k - 1] if k else ""
+        if not (re.search("[0-9=:]", word) or re.search("[=:]>?[\"'`({\\[]*$", before)):
+            continue
+        named, known, long, address = (re.findall(p, word) for p in secret_scan._PATTERNS)
+        apart = re.findall(secret_scan._APART, f"{beside} {word}" if k else word) if re.search("[=:]", beside) or word[:1] in "=:" else []
+        for v in dict.fromkeys([*named, *apart, *known, *(x for x in long if re.search("[0-9]", x)), *address]):
+            parts = word.split(v)[:-1]
+            judged = []
+            for p in parts:
+                if re.search(r"://[^/:@\s]*:$", p):
+                    judged.append((v, v, "password"))
+                else:
+                    m = re.search(secret_scan._BEFORE, p)
+                    judged.append((v, word, f"{beside} {m[1] if m else ''}" if k else m[1] if m else ""))
+            out.append((v, k, max(secret_scan.vote(forest, secret_scan.features(*x)) for x in judged)))
+    return out
+
+
+def test_findings_equal_brute_force(spark):
+    forest = secret_scan._default_forest()
+    r = random.Random(12)
+    code = lambda: "".join(r.choice("0123456789abcdefXYZ") for _ in range(r.randint(6, 30)))
+    made = [f'{{"{r.choice(secret_scan.SECRET_WORDS)}":"{code()}","n":{r.randint(0, 99)},"{r.choice(secret_scan.OTHER_WORDS)}":"{code()}","key":"{K1}"}}' for _ in range(25)]
+    made += [f"{r.choice(('x', 'the', 'db'))} {r.choice(secret_scan.SECRET_WORDS)}{r.choice(('=', ': ', ' = ', ' : '))}{code()} and {code()};commit={code()}" for _ in range(25)]
+    texts = [t for _, t in SECRETS if len(t or "") < 1000] + made + ["mysql://u:pa55word@h/x", f"a,b;{H1},{H1}&{H2}"]
+    rows = secret_scan.scan(docs_of(spark, list(enumerate(texts)))).collect()
+    for row in rows:
+        want = brute_findings(texts[row.doc_id], forest)
+        assert [(f.value, f.place) for f in row.findings] == [(v, k) for v, k, _ in want], texts[row.doc_id]
+        assert np.allclose([f.score for f in row.findings], [x for _, _, x in want], atol=1e-6), texts[row.doc_id]
+        secrets = {v for v, _, x in want if x >= 0.5}
+        assert set(row.secrets) == secrets and not any(v in (row.redacted or "") for v in secrets)
+    assert sum(bool(row.secrets) for row in rows) > 40
+
+
 def test_votes_in_columns_equal_the_forest_s(spark):
     forest = secret_scan.fit(secret_scan.labelled_findings(320, seed=4))
     held = secret_scan.labelled_findings(320, seed=5)
