@@ -100,8 +100,10 @@ def time_ago(now_ms: Column, then_ms: Column) -> Column:
 
 
 def pretty_json(text: Column) -> Column:
-    """JSON objects in canonical form, anything else as it is."""
-    return F.coalesce(F.to_json(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})), text)
+    """JSON values without white space, members of objects by name; anything else as it is."""
+    # The parser passes over what follows a value; within both brackets there is no such place.
+    member, element = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.when(element.isNotNull(), F.to_json(F.variant_get(member, "$.v", "variant"))), text)
 
 
 def lag_band(lag: Column) -> Column:

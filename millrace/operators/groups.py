@@ -14,7 +14,7 @@ from millrace.functions import scalars as S
 from millrace.operators.log import number_within
 from millrace.operators.segments import _in_order, floor_segment
 from millrace.schema import DLQ_PREFIX, LEASE_MS, MAX_DELIVERIES
-from millrace.storage import durable
+from millrace.storage import durable, small
 
 
 def lag_of(head: Column, committed: Column) -> Column:
@@ -111,24 +111,40 @@ def redeliveries(leases: DataFrame, messages: DataFrame, now_ms: Column, bucket:
     return found.select("group", "topic", "consumer", "offset")
 
 
+def fan_out(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """messages once for each group of subscriptions (group, topic) of their topic; repeated subscriptions count once.
+
+    Subscriptions are broadcast where they are counted to be few. Messages of topics that nobody subscribes to go.
+    """
+    return messages.join(small(durable(subscriptions.select("group", "topic").distinct())), "topic")
+
+
 class GroupFold:
     """One group and topic, command by command; the one place where lease semantics are.
 
     offsets: ascending offsets of the topic's messages, by which acquire moves on. The topic's
     offsets are sparse: the next one is the last plus 1, not plus a count.
 
+    stored is what the group's offset store says; committed is what the coordinator has advanced to since the first
+    acquire. A group is active while it has members, which are the holders of leases: then commits go through the
+    coordinator, and otherwise they overwrite the stored offset, without moving dispatch.
+
     Kept on purpose: a commit inside a lease drops the lease's tail; expiry counts an attempt on the
     lease's first offset only; a NACK rewinds the whole lease; a late commit changes nothing.
     """
 
     def __init__(self, offsets: list[int], lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES, committed: int = -1) -> None:
         self.offsets, self.lease_ms, self.most = offsets, lease_ms, most
-        self.committed = committed
-        self.dispatch = max(0, committed)
+        self.stored = committed
+        self.committed = self.dispatch = max(0, committed)
+        self.begun = False  # an acquire, even an empty one, starts the coordinator from the stored offset
         self.leases: dict[str, tuple[int, int, int]] = {}  # consumer: from, to, expires at
         self.ranges: list[tuple[int, int]] = []
         self.attempts: dict[int, int] = {}
-        self.active = False
+
+    @property
+    def active(self) -> bool:
+        return bool(self.leases)
 
     def state(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "offsets"}
@@ -138,15 +154,15 @@ class GroupFold:
         return self
 
     def _advance(self) -> None:
-        at = max(0, self.committed)
+        at = self.committed
         left = []
         for low, high in sorted(self.ranges):
             if not left and low <= at:
                 at = max(at, high)
             else:
                 left.append((low, high))
-        if at > max(0, self.committed):
-            self.committed = at
+        if at > self.committed:
+            self.committed = self.stored = at
         self.ranges = left
 
     def _forget(self, low: int, high: int) -> None:
@@ -167,7 +183,9 @@ class GroupFold:
         """What a command did: delivered_from, delivered_to (exclusive), delivered_n, routed_to_dlq (offsets)."""
         out = {"delivered_from": None, "delivered_to": None, "delivered_n": 0, "routed_to_dlq": []}
         if op == "acquire":
-            self.active = True
+            if not self.begun:
+                self.begun = True
+                self.committed = self.dispatch = max(0, self.stored)
             i = bisect.bisect_left(self.offsets, self.dispatch)
             taken = self.offsets[i : i + max(0, n or 0)]
             if taken:
@@ -178,14 +196,14 @@ class GroupFold:
                 self.dispatch = high
         elif op == "commit":
             if not self.active:
-                self.committed, self.dispatch = offset, max(0, offset)
+                self.stored = offset
             elif held := self.leases.pop(consumer, None):
                 if offset > held[0]:
                     self.ranges.append((held[0], offset))
                     self._forget(held[0], offset)
                     self._advance()
         elif op == "nack":
-            if self.active:
+            if self.begun:
                 held = self.leases.pop(consumer, None)
                 back = held[0] if held else offset
                 if self._failed(offset):
@@ -205,7 +223,7 @@ class GroupFold:
                 self.dispatch = min(self.dispatch, back)
         else:
             raise ValueError(f"unknown command {op!r}")
-        return out | {"committed": self.committed, "dispatch": self.dispatch}
+        return out | {"committed": self.stored, "dispatch": self.dispatch if self.begun else max(0, self.stored)}
 
 
 REPLAY = "seq long, group string, topic string, op string, delivered_from long, delivered_to long, delivered_n long, committed long, dispatch long, routed_to_dlq array<long>"

@@ -33,9 +33,12 @@ def message_lag(followers: DataFrame, entries: DataFrame, commit: int, exact: in
     Entries are summed up once, and looked up at each match index.
     """
     per_entry = max(1.0, rate / 10) if rate else 50.0
-    upto = F.sum("batch_size").over(Window.orderBy(F.desc("index")))
     recent = entries.where((F.col("index") > commit - exact) & (F.col("index") <= commit))  # at most `exact` rows
-    sums = recent.withColumn("_after", upto).select((F.col("index") - 1).alias("match_index"), "_after")
+    # A match index needn't be that of an entry: each stands among the entries, before those of its own index.
+    marks = followers.where("match_index is not null").select(F.col("match_index").alias("index"), F.lit(0).cast("long").alias("batch_size"), F.lit(0).alias("_entry")).distinct()
+    both = recent.select(F.col("index").cast("long").alias("index"), F.col("batch_size").cast("long").alias("batch_size"), F.lit(1).alias("_entry")).unionByName(marks)
+    after = F.sum("batch_size").over(Window.orderBy(F.desc("index"), "_entry").rowsBetween(Window.unboundedPreceding, 0))
+    sums = both.withColumn("_after", after).where("_entry = 0").select(F.col("index").alias("match_index"), "_after")
     out = followers.join(F.broadcast(sums), "match_index", "left")
     behind = F.lit(commit) - F.col("match_index")
     lag = F.when(F.col("match_index").isNull(), -1).when(behind <= 0, 0).when(behind <= exact, F.coalesce("_after", F.lit(0))).otherwise(F.floor(behind * per_entry))
@@ -89,8 +92,9 @@ def quorum_alive(peers: DataFrame, now_ms: Column, within_ms: int = QUORUM_CONTA
 def rpc_prefix(entries: DataFrame, by: list[str], size: str, most: int = RPC_ENTRIES, most_bytes: int = RPC_BYTES) -> DataFrame:
     """The entries that one request takes, from each log's first on: up to most rows and most_bytes, but at least one."""
     order = Window.partitionBy(*by).orderBy("index")
-    out = entries.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.where((F.col("_n") == 1) | ((F.col("_n") <= most) & (F.col("_bytes") <= most_bytes))).drop("_n", "_bytes")
+    first = entries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)  # cut in each task before the exchange
+    out = first.withColumn("_bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where((F.col("_n") == 1) | (F.col("_bytes") <= most_bytes)).drop("_n", "_bytes")
 
 
 def stale_proposals(proposals: DataFrame, now_ms: Column, most_ms: int = STALE_PROPOSAL_MS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from millrace.functions import scalars as S
 from millrace.operators import groups, log, metrics, replica, segments
 from millrace.schema import topic_is_valid
-from millrace.sources import fixtures
+from millrace.sources import fixtures, framed, sinks
 from millrace.sources.fixtures import messages, table
 from millrace.storage import shared_dir
 from millrace.streaming import streams
@@ -48,13 +48,13 @@ replicas AS (
 """
 
 
-def query(name: str, sql: str | None = None, plain: bool = False):
+def query(name: str, sql: str | None = None, plain: bool = False, recursive: bool = False):
     """Registers a query; sql follows the common definitions unless plain."""
 
     def keep(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql if plain else _MESSAGES + sql
+            ORACLE_SQL[name] = sql if plain else (_MESSAGES.replace("WITH", "WITH RECURSIVE", 1) if recursive else _MESSAGES) + sql
         return f
 
     return keep
@@ -139,7 +139,7 @@ def log_page_next(spark, d):
     return log.next_page(messages(spark, d), "view", 300, 25).select("offset", "payload")
 
 
-@query("log_inspect", """SELECT "offset", "timestamp", key, '{"k":"' || json_extract_string(payload, '$.k') || '"}' AS payload FROM messages WHERE topic = 'error' AND "offset" >= 10 ORDER BY "offset" LIMIT 100""")
+@query("log_inspect", """SELECT "offset", "timestamp", key, coalesce(TRY(CAST(json(payload) AS VARCHAR)), payload) AS payload FROM messages WHERE topic = 'error' AND "offset" >= 10 ORDER BY "offset" LIMIT 100""")
 def log_inspect(spark, d):
     m = messages(spark, d).withColumn("payload", S.bytes_of(F.col("payload")))
     return log.inspect(m, "error", 10, 500)
@@ -267,10 +267,81 @@ def catchup_segments(spark, d):
     return segments.catch_up(_segments(spark, d), follower).na.fill(-1, ["next_base"]).select("topic", "base", "next_base", "follower_offset")
 
 
-@query("segment_roll")
+# A record is 4 bytes of length and a message of six tagged fields: numbers in base 128, texts behind their length.
+_RECORDS = """,
+record AS (
+    SELECT topic, "offset", 4 + CASE WHEN "offset" = 0 THEN 0 ELSE 1 + CAST(ceil(len(ltrim(bin("offset"), '0')) / 7.0) AS BIGINT) END
+        + 2 + octet_length(encode(topic)) + 2 + octet_length(encode(payload)) + 2 + octet_length(encode(key))
+        + 2 * (1 + CAST(ceil(len(ltrim(bin("timestamp"), '0')) / 7.0) AS BIGINT)) AS n_bytes FROM messages),
+sized AS (
+    SELECT *, row_number() OVER w AS rn, CAST(sum(n_bytes) OVER w AS BIGINT) - n_bytes AS before
+    FROM record WINDOW w AS (PARTITION BY topic ORDER BY "offset" ROWS UNBOUNDED PRECEDING))
+"""
+
+
+def _record_sizes(spark, d):
+    m = messages(spark, d)
+    size = S.record_bytes(F.col("offset"), F.col("topic"), F.col("payload"), F.col("key"), F.col("timestamp"), F.col("timestamp"))
+    return m.select("topic", "offset", size.alias("n_bytes"))
+
+
+@query("record_sizes", _RECORDS + """SELECT topic, "offset", n_bytes FROM record""")
+def record_sizes(spark, d):
+    return _record_sizes(spark, d)
+
+
+@query("segment_roll", _RECORDS + """,
+starts AS (
+    SELECT topic, 1::BIGINT AS rn, 0::BIGINT AS base, 0::BIGINT AS before FROM heads
+    UNION ALL
+    SELECT s.topic, min(z.rn), arg_min(z."offset", z.rn), min(z.before) FROM starts s JOIN sized z ON z.topic = s.topic AND z.before >= s.before + 2000 GROUP BY s.topic),
+spans AS (SELECT *, coalesce(lead(rn) OVER (PARTITION BY topic ORDER BY rn), 9223372036854775807) AS until FROM starts)
+SELECT z.topic, z."offset", z.n_bytes, s.base AS segment_base FROM sized z JOIN spans s ON s.topic = z.topic AND z.rn >= s.rn AND z.rn < s.until""", recursive=True)
 def segment_roll(spark, d):
-    sized = messages(spark, d).select("topic", "offset", F.octet_length("payload").cast("long").alias("n_bytes"))
-    return segments.roll(sized, limit=2000)
+    return segments.roll(_record_sizes(spark, d), limit=2000)
+
+
+def _stored(spark, d):
+    """Messages as a segment file holds them: the payload as bytes, each segment a thousand global offsets."""
+    m = messages(spark, d).withColumn("payload", S.bytes_of(F.col("payload"))).withColumn("stored_at", F.col("timestamp"))
+    return m.select("offset", "topic", "payload", "key", "timestamp", "stored_at", F.expr("offset div 1000 * 1000").alias("segment_base"))
+
+
+@query("framed_segments", """SELECT "offset" // 1000 * 1000 AS segment_base, topic AS topic_dir, topic, "offset", payload, key, "timestamp", "timestamp" AS stored_at FROM messages""")
+def framed_segments(spark, d):
+    """Messages framed into segments and recovered from them."""
+    found = framed.decoded(framed.encoded(_stored(spark, d)))
+    return found.withColumn("payload", S.text_of(F.col("payload")))
+
+
+@query("framed_damage", """,
+cut AS (SELECT topic, "offset" // 1000 * 1000 AS segment_base, count(*) AS n FROM messages GROUP BY 1, 2)
+SELECT topic, segment_base, n - 1 AS n_messages FROM cut WHERE n > 1""")
+def framed_damage(spark, d):
+    """Segments whose last byte is lost: recovery ends before the last record."""
+    torn = framed.encoded(_stored(spark, d)).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 1)"))
+    return framed.decoded(torn).groupBy("topic", "segment_base").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+@query("offsets_file", """SELECT "group", topic, committed FROM groups""")
+def offsets_file(spark, d):
+    """Committed offsets written as an offsets file, beside lines that say nothing, and read back."""
+    line = F.concat(S.offset_key(F.col("group"), F.col("topic")), F.lit("="), F.col("committed"))
+    rows = _committed(spark, d).select(line.alias("value"))
+    odd = spark.createDataFrame([("# made by a broker",), ("g0/click=seven",), ("no offset",), ("g0=5",)], "value string")
+    rows.unionByName(odd).write.text(path := _fresh(spark, "offsets"))
+    return framed.read_offsets(spark, path)
+
+
+@query("offsets_table", """SELECT "group", topic, CASE WHEN topic = 'click' THEN 3 WHEN k = 0 THEN committed + 1 ELSE committed END AS committed FROM groups""")
+def offsets_table(spark, d):
+    """Snapshots of committed offsets, each replacing the one before whole: later commits count, even where they go back."""
+    kept = sinks.VersionedTable(spark, _fresh(spark, "offsets"))
+    first = _committed(spark, d)
+    sinks.commit_offsets(kept, first)
+    sinks.commit_offsets(kept, first.where(F.col("group") == "g0").withColumn("committed", F.col("committed") + 1))
+    sinks.commit_offsets(kept, first.where("topic = 'click'").withColumn("committed", F.lit(3).cast("long")))
+    return kept.read("group string, topic string, committed long")
 
 
 # 5. Groups.
@@ -301,13 +372,12 @@ def dispatch_chunks(spark, d):
 
 
 _RANGES = """,
-ranges AS (SELECT 'g' || (user_id % 3) AS "group", topic, "offset" // 8 * 8 AS from_offset, "offset" // 8 * 8 + 8 + user_id % 5 AS to_offset FROM messages WHERE "offset" < 4000 AND "offset" // 8 % 97 <> 96)
+ranges AS (SELECT 'g' || (user_id % 3) AS "group", topic, "offset" // 8 * 8 AS from_offset, "offset" // 8 * 8 + 8 + user_id % 5 AS to_offset FROM messages WHERE "offset" // 8 % 97 <> 96)
 """
 
 
 def _commit_ranges(spark, d):
     low = F.expr("offset div 8 * 8")
-    # All messages. The SQL's offsets below 4000 give the same: offsets 768 to 775 are in no range, so what starts later never counts.
     rows = messages(spark, d).where("offset div 8 % 97 <> 96")
     user = F.col("key").cast("long")
     return rows.select(F.concat(F.lit("g"), user % 3).alias("group"), "topic", low.alias("from_offset"), (low + 8 + user % 5).alias("to_offset"))
@@ -341,13 +411,15 @@ def dlq_route(spark, d):
 
 @query("group_fanout", """SELECT g."group", topic, count(*) AS n_messages, CAST(sum("offset") AS BIGINT) AS offset_sum FROM (SELECT DISTINCT "group" FROM groups) g, messages GROUP BY 1, 2""")
 def group_fanout(spark, d):
-    """Every group sees every message: the groups' names go along each row, and what each counts is the topic's."""
-    names = F.array(*[F.lit(f"g{k}") for k in range(4)])
-    per_topic = messages(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("offset").cast("long").alias("offset_sum"))
-    return per_topic.select(F.explode(names).alias("group"), "topic", "n_messages", "offset_sum")
+    """Every group sees every message of its topics; what reaches each is counted."""
+    seen = groups.fan_out(messages(spark, d).select("topic", "offset"), _committed(spark, d))
+    return seen.groupBy("group", "topic").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("offset").cast("long").alias("offset_sum"))
 
 
-@query("group_disjoint", """SELECT topic, count(*) AS delivered, 0::BIGINT AS twice, 0::BIGINT AS missing FROM messages GROUP BY topic""")
+@query("group_disjoint", """,
+chunks AS (SELECT topic, min("offset") AS low, max("offset") + 1 AS high FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY "offset") AS n FROM messages) GROUP BY topic, (n - 1) // 50),
+held AS (SELECT m.topic, m."offset", count(c.low) AS times FROM messages m LEFT JOIN chunks c ON c.topic = m.topic AND m."offset" >= c.low AND m."offset" < c.high GROUP BY 1, 2)
+SELECT topic, count(*) FILTER (times > 0) AS delivered, count(*) FILTER (times > 1) AS twice, count(*) FILTER (times = 0) AS missing FROM held GROUP BY topic""")
 def group_disjoint(spark, d):
     """Chunks are disjoint and complete: messages that are in none, or in two that follow each other."""
     m = messages(spark, d)
@@ -529,6 +601,17 @@ def scalar_texts(spark, d):
     return out
 
 
+@query("scalar_times", f"""SELECT "offset", CASE "offset" % 3 WHEN 2 THEN NULL ELSE "timestamp" // 1000 * 1000 END AS instant,
+    CASE WHEN ({_SINCE} - "timestamp") < 5000 THEN 'just now' WHEN ({_SINCE} - "timestamp") < 60000 THEN (({_SINCE} - "timestamp") // 1000) || 's ago' ELSE (({_SINCE} - "timestamp") // 60000) || 'm ago' END AS ago,
+    CASE WHEN "offset" % 4 = 0 THEN NULL ELSE key END AS key FROM messages""")
+def scalar_times(spark, d):
+    whole = F.expr("timestamp div 1000 * 1000")
+    iso = F.date_format(F.timestamp_millis(whole), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.when(F.col("offset") % 3 == 0, whole.cast("string")).when(F.col("offset") % 3 == 1, iso).otherwise("next week")
+    key = S.null_if_empty(F.when(F.col("offset") % 4 == 0, F.lit("")).otherwise(F.col("key")))
+    return messages(spark, d).select("offset", S.instant_ms(text).alias("instant"), S.time_ago(F.lit(_SINCE), F.col("timestamp")).alias("ago"), key.alias("key"))
+
+
 # 8. Replicas.
 
 
@@ -629,9 +712,9 @@ def rpc_cap(spark, d):
     return replica.rpc_prefix(entries, ["topic"], "size")
 
 
-@query("settle_proposals", """SELECT "offset" AS index, "offset" // 1000 AS term, "offset" % 10 <> 0 AS settled FROM messages WHERE "offset" % 5 = 0""")
+@query("settle_proposals", """SELECT "offset" AS index, "offset" // 1000 AS term, "offset" % 10 <> 0 AS settled FROM messages""")
 def settle_proposals(spark, d):
-    proposals = messages(spark, d).where("offset % 5 = 0").select(F.col("offset").alias("index"), F.expr("offset div 1000").alias("term"))
+    proposals = messages(spark, d).select(F.col("offset").alias("index"), F.expr("offset div 1000").alias("term"))
     applied = messages(spark, d).select(F.col("offset").alias("index"), F.expr("offset div 1000 + case when offset % 10 = 0 then 1 else 0 end").alias("term"))
     return replica.settle_proposals(proposals, applied)
 
@@ -783,7 +866,19 @@ def stream_group_replay(spark, d):
 # 10. Producers.
 
 
-@query("producer_batches")
+@query("producer_batches", """,
+sent AS (SELECT user_id % 16 AS producer, "offset" AS seq, "timestamp" AS at_ms, CASE WHEN "offset" % 50 < 40 THEN 'click' ELSE topic END AS topic, octet_length(encode(payload)) AS n_bytes FROM messages),
+placed AS (
+    SELECT *, row_number() OVER w AS rn, CAST(sum(n_bytes) OVER w AS BIGINT) - n_bytes AS before FROM sent WINDOW w AS (PARTITION BY producer ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+starts AS (
+    SELECT producer, rn, topic, at_ms, before, 0::BIGINT AS batch FROM placed WHERE rn = 1
+    UNION ALL
+    SELECT n.producer, n.rn, p.topic, p.at_ms, p.before, n.batch FROM (
+        SELECT s.producer, min(z.rn) AS rn, min(s.batch) + 1 AS batch FROM starts s JOIN placed z
+        ON z.producer = s.producer AND z.rn > s.rn AND (z.topic <> s.topic OR z.before - s.before >= 64 OR z.at_ms - s.at_ms >= 14400000) GROUP BY s.producer) n
+    JOIN placed p ON p.producer = n.producer AND p.rn = n.rn),
+spans AS (SELECT *, coalesce(lead(rn) OVER (PARTITION BY producer ORDER BY rn), 9223372036854775807) AS until FROM starts)
+SELECT p.producer, p.seq, p.at_ms, p.topic, CAST(p.n_bytes AS BIGINT) AS n_bytes, s.batch FROM placed p JOIN spans s ON s.producer = p.producer AND p.rn >= s.rn AND p.rn < s.until""", recursive=True)
 def producer_batches(spark, d):
     e = table(spark, d, "events")
     sent = e.select((F.col("user_id") % 16).alias("producer"), F.col("event_id").alias("seq"), S.epoch_ms("ts").alias("at_ms"), F.when(F.col("event_id") % 50 < 40, F.lit("click")).otherwise(F.col("event_type")).alias("topic"), F.octet_length("props").cast("long").alias("n_bytes"))

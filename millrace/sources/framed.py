@@ -51,6 +51,8 @@ def decode(data: bytes) -> dict:
             value, at = None, at + (8 if kind == 1 else 4)
         elif kind == 2:
             size, at = _varint(data, at)
+            if not 0 <= size <= len(data) - at:
+                raise CorruptRecord("field cut short")
             value, at = data[at : at + size], at + size
         else:
             raise CorruptRecord(f"wire type {kind}")
@@ -108,7 +110,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Messages of all segment files at or below path, with their segment's base and folder; other files are passed over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path)
     topic_dir = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    found = files.select(segment_base(F.col("path")).alias("segment_base"), topic_dir.alias("topic_dir"), "content").where("segment_base is not null and topic_dir not in ('raft', '__consumer_offsets')")
+    return decoded(files.select(segment_base(F.col("path")).alias("segment_base"), topic_dir.alias("topic_dir"), "content").where("segment_base is not null and topic_dir not in ('raft', '__consumer_offsets')"))
+
+
+def encoded(messages: DataFrame) -> DataFrame:
+    """segment_base, topic_dir, content of messages (schema.MESSAGE) with segment_base: a row for each segment, whose size is bounded."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("offset").astype(object).where(rows.notna(), None)
+        return pd.DataFrame({"segment_base": [key[1]], "topic_dir": [key[0]], "content": [b"".join(map(encode, rows.to_dict("records")))]})
+
+    return messages.groupBy("topic", "segment_base").applyInPandas(run, "segment_base long, topic_dir string, content binary")
+
+
+def decoded(segments: DataFrame) -> DataFrame:
+    """Messages of segments (segment_base, topic_dir, content), each up to its first bad frame."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,7 +132,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows := list(records(bytes(content))):
                     yield pd.DataFrame(rows).assign(segment_base=base, topic_dir=folder)[[c.split()[0] for c in _SCHEMA.split(", ")]]
 
-    return found.mapInPandas(run, _SCHEMA)
+    return segments.select("segment_base", "topic_dir", "content").mapInPandas(run, _SCHEMA)
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import durable, small
+
 
 class VersionedTable:
     """A small table, such as committed offsets, of which a write makes a new version visible by renaming one marker file."""
@@ -55,7 +57,7 @@ def archive_expired(messages: DataFrame, expired: DataFrame, archive_path: str)
     Messages carry segment_base. The archive is complete before anything is dropped: the caller
     replaces the hot log by what is returned.
     """
-    gone = F.broadcast(expired.select("topic", F.col("base").alias("segment_base")))  # a row a segment
+    gone = small(durable(expired.select("topic", F.col("base").alias("segment_base")).distinct()))
     messages.join(gone, ["topic", "segment_base"], "left_semi").write.mode("append").partitionBy("topic", "segment_base").parquet(archive_path)
     return messages.join(gone, ["topic", "segment_base"], "left_anti")
 

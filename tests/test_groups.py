@@ -92,9 +92,10 @@ def test_commit_without_group_overwrites():
 
 
 def test_late_commit_changes_nothing():
-    f = GroupFold(list(range(5)), lease_ms=10)
-    out = run(f, (0, "A", "acquire", 5, None), (20, None, "expire", None, None), (21, "A", "commit", None, 5))
-    assert out[2]["committed"] == -1 and out[2]["dispatch"] == 0
+    """As long as another consumer keeps the group active: without one the commit overwrites what is stored."""
+    f = GroupFold(list(range(9)), lease_ms=10)
+    out = run(f, (0, "A", "acquire", 5, None), (15, "B", "acquire", 2, None), (20, None, "expire", None, None), (21, "A", "commit", None, 5))
+    assert out[3]["committed"] == -1 and out[3]["dispatch"] == 0
 
 
 def test_unknown_commands_fail():
@@ -167,3 +168,23 @@ def test_replay_jumps_as_a_fold_over_all_offsets(spark):
     for row, (_, at, _, _, who, op, n, offset) in zip(found, commands, strict=True):
         want = fold.apply(at, who, op, n, offset)
         assert {k: row[k] for k in want} == want
+
+
+def test_commits_without_members_overwrite_what_is_stored():
+    """A group is active while a consumer holds a lease; otherwise commits go to the offset store alone."""
+    g = GroupFold([1, 2, 7, 9, 12])
+    assert g.apply(0, "a", "acquire", 3, None)["delivered_to"] == 8
+    assert g.apply(1, "a", "commit", None, 5)["committed"] == 5
+    assert g.apply(2, "a", "commit", None, 2)["committed"] == 2 and g.dispatch == 8
+    g.apply(3, "b", "acquire", 1, None)
+    assert g.apply(4, "b", "commit", None, 10)["committed"] == 2  # offsets 5 to 7 are still open
+    empty = GroupFold([])
+    assert empty.apply(0, "a", "acquire", 3, None)["committed"] == -1
+    assert empty.apply(1, "a", "commit", None, 7)["committed"] == 7 and empty.dispatch == 0
+    late = GroupFold([1, 5, 9])
+    late.apply(0, "a", "commit", None, 5)
+    assert late.apply(1, "a", "acquire", 1, None)["delivered_from"] == 5  # the first acquire starts from what is stored
+    expired = GroupFold([1, 5, 9], lease_ms=10)
+    expired.apply(0, "a", "acquire", 2, None)
+    expired.apply(50, None, "expire", None, None)
+    assert expired.apply(51, "a", "commit", None, 4)["committed"] == 4 and expired.dispatch == 0

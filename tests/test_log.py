@@ -172,3 +172,46 @@ def test_replica_replay(spark):
 def test_rpc_prefix_takes_one_at_least(spark):
     df = spark.createDataFrame([("t", 1, 100), ("t", 2, 1), ("u", 1, 3), ("u", 2, 3), ("u", 3, 9)], "topic string, index long, size long")
     assert sorted((r["topic"], r["index"]) for r in replica.rpc_prefix(df, ["topic"], "size", most=5, most_bytes=10).collect()) == [("t", 1), ("u", 1), ("u", 2)]
+
+
+def test_negative_and_long_lengths_are_corrupt():
+    import pytest
+
+    from millrace.sources import framed
+
+    for size in (-11, -1, 1 << 40, 6):
+        with pytest.raises(framed.CorruptRecord):
+            framed.decode(bytes([26]) + framed._number(size) + b"short")
+    good = framed.encode({"offset": 1, "topic": "t"})
+    assert [m["offset"] for m in framed.records(good + b"\x00\x00\x00\x0b" + bytes([26]) + framed._number(-11))] == [1]
+
+
+def test_message_lag_of_logs_with_gaps(spark):
+    from millrace.operators import replica
+
+    entries = spark.createDataFrame([(10, 4), (20, 5), (40, 6)], "index long, batch_size long")
+    followers = spark.createDataFrame([("a", 9), ("b", 10), ("c", 15), ("d", 39), ("e", 40), ("f", None), ("g", 0)], "node string, match_index long")
+    found = {r.node: r.message_lag for r in replica.message_lag(followers, entries, 40).collect()}
+    assert found == {"a": 15, "b": 11, "c": 11, "d": 6, "e": 0, "f": -1, "g": 15}
+
+
+def test_json_keeps_its_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import scalars
+
+    texts = ['1, 2', '1],[2', '1},{"v":2', '1, "w": 2', '[1, {"b": null}]', '"x"', '{"k": 5}', '{"a": {"b": [1, true]}}', '{"a":1} x', "plain", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", scalars.pretty_json(F.col("t")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == ['1, 2', '1],[2', '1},{"v":2', '1, "w": 2', '[1,{"b":null}]', '"x"', '{"k":5}', '{"a":{"b":[1,true]}}', '{"a":1} x', "plain", "", None]
+
+
+def test_shared_folders_are_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from millrace.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda k: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")))
