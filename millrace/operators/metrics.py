@@ -126,6 +126,21 @@ def frame(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*[F.col(c) for c in metrics.columns])).alias("frame"))
 
 
+def telemetry(topics: DataFrame, groups: DataFrame, node: str) -> DataFrame:
+    """One row of JSON: the node with its topics and groups, each an array ordered by its first column; both are a row a topic or group."""
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+    both = listed(topics, "topics").withColumn("node", F.lit(node)).join(listed(groups, "groups").withColumn("node", F.lit(node)), "node")
+    return both.select(F.to_json(F.struct("node", "topics", "groups")).alias("frame"))
+
+
+def scrape(gauges: DataFrame) -> DataFrame:
+    """Gauges (name, labels as a map, value) as lines of scrape text, labels by name; values that are null have no line."""
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    pairs = F.transform(F.sort_array(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), quoted(e["value"])))
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    return gauges.where("value is not null").select(F.concat("name", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
 def zip_histories(produced: DataFrame, consumed: DataFrame, by: list[str], tick: str = "tick") -> DataFrame:
     """Two series (n at each tick) side by side, by their place from the newest tick on; a place that produced lacks is what consumed leaves of total."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(tick)))

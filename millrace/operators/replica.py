@@ -89,8 +89,9 @@ def quorum_alive(peers: DataFrame, now_ms: Column, within_ms: int = QUORUM_CONTA
     return out.withColumn("has_quorum", F.col("alive") >= F.col("needed"))
 
 
-def rpc_prefix(entries: DataFrame, by: list[str], size: str, most: int = RPC_ENTRIES, most_bytes: int = RPC_BYTES) -> DataFrame:
-    """The entries that one request takes, from each log's first on: up to most rows and most_bytes, but at least one."""
+def rpc_prefix(entries: DataFrame, by: list[str], size: str, most: int = RPC_ENTRIES, most_bytes: int = RPC_BYTES, start: int | None = None) -> DataFrame:
+    """The entries that one request takes, from each log's first on, or from its index `start`: up to most rows and most_bytes, but at least one."""
+    entries = entries.where(F.col("index") >= start) if start is not None else entries
     order = Window.partitionBy(*by).orderBy("index")
     first = entries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)  # cut in each task before the exchange
     out = first.withColumn("_bytes", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -795,6 +795,69 @@ def topics_json(spark, d):
     return metrics.frame(log.topic_counts(m).join(log.heads(m), "topic").select("topic", F.col("n_messages").alias("messages"), "head"))
 
 
+@query("consumers_json", """SELECT '{"group":"' || "group" || '","topic":"' || topic || '","committed":' || committed || ',"head":' || head || ',"lag":' || lag || ',"members":' || members || '}' AS frame FROM lags""")
+def consumers_json(spark, d):
+    return metrics.frame(_lags(spark, d).select("group", "topic", "committed", "head", "lag", "members"))
+
+
+@query("messages_json", """SELECT '{"offset":' || "offset" || ',"timestamp":' || "timestamp" || ',"key":"' || key || '","payload":' || to_json(payload) || '}' AS frame FROM messages WHERE topic = 'view' AND "offset" >= 50 ORDER BY "offset" LIMIT 100""")
+def messages_json(spark, d):
+    """A page of a topic's messages, as a browser of the log asks for it."""
+    return metrics.frame(log.read_from(messages(spark, d), "view", 50, 100).select("offset", "timestamp", "key", "payload"))
+
+
+@query("telemetry_frame", """,
+t AS (SELECT list('{"topic":"' || topic || '","head":' || head || '}' ORDER BY topic) AS l FROM heads),
+g AS (SELECT list('{"group":"' || "group" || '","lag":' || lag || '}' ORDER BY "group") AS l FROM (SELECT "group", CAST(sum(lag) AS BIGINT) AS lag FROM lags GROUP BY 1))
+SELECT '{"node":"n1","topics":[' || array_to_string(t.l, ',') || '],"groups":[' || array_to_string(g.l, ',') || ']}' AS frame FROM t, g""")
+def telemetry_frame(spark, d):
+    lags = _lags(spark, d).groupBy("group").agg(F.sum("lag").alias("lag"))
+    return metrics.telemetry(log.heads(messages(spark, d)).select("topic", "head"), lags, "n1")
+
+
+@query("scrape_text", """SELECT 'log_head{node="n1",topic="' || topic || '"} ' || head AS line FROM heads
+UNION ALL SELECT 'group_lag{group="' || "group" || '",topic="' || topic || '"} ' || lag FROM lags UNION ALL SELECT 'log_messages ' || count(*) FROM messages""")
+def scrape_text(spark, d):
+    text = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[c for _, c in pairs]))
+    m = messages(spark, d)
+    heads = log.heads(m).select(F.lit("log_head").alias("name"), text(("topic", F.col("topic")), ("node", F.lit("n1"))).alias("labels"), F.col("head").alias("value"))
+    lags = _lags(spark, d).select(F.lit("group_lag").alias("name"), text(("topic", F.col("topic")), ("group", F.col("group"))).alias("labels"), F.col("lag").alias("value"))
+    whole = m.agg(F.count(F.lit(1)).alias("value")).select(F.lit("log_messages").alias("name"), F.create_map().cast("map<string,string>").alias("labels"), "value")
+    return metrics.scrape(heads.unionByName(lags).unionByName(whole))
+
+
+@query("raft_entries", """SELECT topic AS log, "offset" // 1000 AS term, "offset" AS index, topic, payload, CASE WHEN "offset" % 7 = 0 THEN NULL ELSE key END AS key, "timestamp",
+    CASE WHEN "offset" % 5 = 0 THEN 'OFFSET_COMMIT' ELSE 'MESSAGE' END AS command_type, CASE WHEN "offset" % 5 = 0 THEN 'g0' END AS consumer_group, CASE WHEN "offset" % 5 = 0 THEN "offset" END AS offset_value FROM messages""")
+def raft_entries(spark, d):
+    """Entries framed into a log a thousand offsets of each topic, whose end is torn, and recovered from them."""
+    m, commit = messages(spark, d), F.col("offset") % 5 == 0
+    entries = m.select(
+        F.col("topic").alias("log"), F.expr("offset div 1000").alias("term"), F.col("offset").alias("index"), "topic", S.bytes_of(F.col("payload")).alias("payload"), F.when(F.col("offset") % 7 != 0, F.col("key")).alias("key"),
+        "timestamp", F.when(commit, "OFFSET_COMMIT").otherwise("MESSAGE").alias("command_type"), F.when(commit, "g0").alias("consumer_group"), F.when(commit, F.col("offset")).alias("offset_value"),
+    )
+    logs = framed.encoded_entries(entries, ["log", "term"])
+    torn = logs.withColumn("content", F.concat("content", F.lit(b"\x00\x00\x00\x09half")))
+    return framed.decoded_entries(torn).withColumn("payload", S.text_of(F.col("payload")))
+
+
+@query("raft_state", """SELECT max("offset") // 1000 AS current_term, 'n2' AS voted_for, max("offset") AS last_applied, 0::BIGINT AS last_applied_term FROM messages""")
+def raft_state(spark, d):
+    """A replica's state written as properties and read back; what it lacks has its default."""
+    last = messages(spark, d).agg(F.max("offset").alias("o"))
+    lines = F.array(F.lit("#state"), F.concat(F.lit("currentTerm="), F.expr("o div 1000")), F.lit("votedFor=n2"), F.concat(F.lit("lastApplied = "), F.col("o")))
+    last.select(F.explode(lines).alias("value")).write.text(path := _fresh(spark, "state"))
+    return framed.read_state(spark, path)
+
+
+@query("rpc_from_index", """,
+e AS (SELECT topic, "offset", octet_length(encode(payload)) * 4000 AS size FROM messages WHERE "offset" >= 300),
+r AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS b FROM e WINDOW w AS (PARTITION BY topic ORDER BY "offset" ROWS UNBOUNDED PRECEDING))
+SELECT topic, "offset" AS index, CAST(size AS BIGINT) AS size FROM r WHERE n = 1 OR (n <= 500 AND b <= 8388608)""")
+def rpc_from_index(spark, d):
+    entries = messages(spark, d).select("topic", F.col("offset").alias("index"), (F.octet_length("payload") * 4000).cast("long").alias("size"))
+    return replica.rpc_prefix(entries, ["topic"], "size", start=300)
+
+
 @query("reachable_followers", "SELECT node_id FROM (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 'LEADER' ELSE 'FOLLOWER' END AS state, node_id % 4 - 1 AS lag FROM replicas) WHERE state <> 'LEADER' AND lag >= 0")
 def reachable_followers(spark, d):
     n = F.col("node_id")
