@@ -1,6 +1,8 @@
 """A training-data pipeline over documents: STAGES in order, each written as Parquet and read again by the next.
 
 run() keeps the intermediate tables in a new folder inside the shared one (spark.checkpoint.dir).
+Null texts count as empty: equal to each other, without secrets, and packed as their end id alone. A null id gives way to any
+other in a group of copies. Empty documents give no rows; without labels no document is toxic. Rows that repeat an id and a text go but for one.
 """
 
 from __future__ import annotations

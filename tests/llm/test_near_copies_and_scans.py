@@ -377,3 +377,14 @@ def test_pipeline_s_stages_take_effect(spark):
         seen.append(len(after))
         docs = spark.createDataFrame(after, out.schema)
     assert corpus_pipeline.run(spark, SF).count() == seen[-1]
+
+
+def test_pipeline_of_empty_tables_and_nulls(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    nulls = [[None if c != "doc_id" else k for c in docs.columns] for k in (1, 1, None)]
+    docs.limit(0).unionByName(spark.createDataFrame(nulls, docs.schema)).write.parquet(f"{tmp_path}/nulls/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/nulls/labels.parquet")
+    assert [(r.doc_id, r.length) for r in corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()] == [(1, 1)]

@@ -283,3 +283,12 @@ def test_piece_rows(spark):
     encoded = piece_sampling.sampled_pieces(docs, PIECES)
     assert sorted(r.text for r in piece_sampling.decoded(encoded, PIECES).collect()) == ["", "a b", "a b", "x"]
     assert piece_sampling.round_trip(docs.limit(0), PIECES).count() == 0
+
+
+def test_clashing_columns_of_packing_and_pieces(spark):
+    rows = [(1, "a b", 1, 2, 3), (None, None, 1, 2, 3), (1, "a b", 9, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, _id long, ids long")
+    plain = docs.select("doc_id", "text")
+    key = lambda r: tuple(str(x) for x in r)
+    for made in (lambda d: packing.token_pieces(d, BPE, 8, 0), lambda d: piece_sampling.round_trip(d, PIECES)):
+        assert sorted(made(docs).collect(), key=key) == sorted(made(plain).collect(), key=key)
