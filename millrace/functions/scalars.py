@@ -94,6 +94,14 @@ def instant_ms(text: Column) -> Column:
     return F.coalesce(text.try_cast("long"), F.unix_millis(F.try_to_timestamp(text)))
 
 
+def addresses(text: Column) -> Column:
+    """Array of (id, host, port) of a list of addresses, id:host:port or host:port with the host as id; items of other forms are passed over."""
+    items = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.split(F.trim(x), ":"))
+    port = lambda p: F.element_at(p, -1).try_cast("int")
+    sound = F.filter(items, lambda p: F.size(p).between(2, 3) & port(p).isNotNull() & ~F.array_contains(p, ""))
+    return F.transform(sound, lambda p: F.struct(F.get(p, F.lit(0)).alias("id"), F.get(p, F.size(p) - 2).alias("host"), port(p).alias("port")))
+
+
 def time_ago(now_ms: Column, then_ms: Column) -> Column:
     seconds = F.floor((now_ms - then_ms) / 1000)
     return F.when(seconds < 5, "just now").when(seconds < 60, F.concat(seconds, F.lit("s ago"))).otherwise(F.concat(F.floor(seconds / 60), F.lit("m ago")))

@@ -612,6 +612,14 @@ def scalar_times(spark, d):
     return messages(spark, d).select("offset", S.instant_ms(text).alias("instant"), S.time_ago(F.lit(_SINCE), F.col("timestamp")).alias("ago"), key.alias("key"))
 
 
+@query("address_lists", """SELECT node_id, 'n' || node_id AS id, 'host' || cluster AS host, CAST(9000 + node_id AS INTEGER) AS port FROM replicas
+UNION ALL SELECT node_id, 'seed' || cluster, 'seed' || cluster, 9092 FROM replicas""")
+def address_lists(spark, d):
+    n, c = F.col("node_id").cast("string"), F.col("cluster").cast("string")
+    text = F.concat(F.lit("n"), n, F.lit(":host"), c, F.lit(":"), (9000 + F.col("node_id")).cast("string"), F.lit(", seed"), c, F.lit(":9092,bad,host:port,a:b:c:1,,:7"))
+    return _replicas(spark, d).select("node_id", F.inline(S.addresses(text)))
+
+
 # 8. Replicas.
 
 
