@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
 from millrace.operators.log import number_within
-from millrace.operators.segments import _in_order, floor_segment
+from millrace.operators.segments import _in_order, floor_cut, floor_segment
 from millrace.schema import DLQ_PREFIX, LEASE_MS, MAX_DELIVERIES
 from millrace.storage import durable, small
 
@@ -35,10 +35,8 @@ def message_lag(committed: DataFrame, messages: DataFrame) -> DataFrame:
     Committed offsets of a topic cut it into ranges; messages are counted a range, once, and
     the counts summed from each offset on: no message is repeated for each group.
     """
-    cuts = committed.select("topic", F.greatest(F.col("committed"), F.lit(0)).alias("cut")).distinct()
-    per_topic = cuts.groupBy("topic").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))  # as many as there are groups
-    placed = messages.select("topic", "offset").join(F.broadcast(per_topic), "topic")
-    placed = placed.select("topic", F.array_max(F.filter("cuts", lambda c: c <= F.col("offset"))).alias("cut")).where("cut is not null")
+    cuts = durable(committed.select("topic", F.greatest(F.col("committed"), F.lit(0)).alias("cut")).distinct())
+    placed = floor_cut(messages.select("topic", "offset"), cuts, "offset")
     counts = cuts.join(placed.groupBy("topic", "cut").agg(F.count(F.lit(1)).alias("n")), ["topic", "cut"], "left")
     later = Window.partitionBy("topic").orderBy(F.desc("cut"))
     sums = counts.withColumn("message_lag", F.sum(F.coalesce("n", F.lit(0))).over(later).cast("long")).drop("n")

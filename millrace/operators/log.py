@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
+from millrace.operators.segments import floor_cut
 from millrace.schema import CACHED_PER_TOPIC, INDEX_EVERY, INDEX_KEPT, MAX_BATCH_BYTES, MAX_BATCH_MESSAGES, page_limit
-from millrace.storage import durable
+from millrace.storage import durable, small
 
 
 def get(messages: DataFrame, topic: str, offset: int) -> DataFrame:
@@ -91,30 +92,42 @@ def sparse_index(messages: DataFrame, every: int = INDEX_EVERY, kept: int = INDE
     return rows.withColumn("_n", newest).where(F.col("_n") <= kept).select("topic", "offset")
 
 
-def assign_offsets(rows: DataFrame, order: list[str], base: int = 0, name: str = "offset", partitions: int | None = None) -> DataFrame:
-    """rows with dense global offsets in the order of columns that identify a row.
+def _dealt(rows: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """rows dealt by ranges of an order, with _range and their number _nth, from 0, within it.
 
-    No task sees all rows: rows are dealt by ranges of the order, counted a range, and numbered
-    within it; only the counts, a row a range, meet in one task. The dealing is kept in
+    Partitions are sorted where they lie, so numbering shuffles nothing more. The dealing is kept in
     the shared folder, so that counts and numbers agree.
     """
     dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    dealt = durable(dealt.withColumn("_range", F.spark_partition_id()))
+    number = F.monotonically_increasing_id()  # the partition, then 33 bits that count its rows
+    return durable(dealt.sortWithinPartitions(*order).withColumns({"_range": F.shiftright(number, 33), "_nth": number.bitwiseAND(F.lit((1 << 33) - 1))}))
+
+
+def assign_offsets(rows: DataFrame, order: list[str], base: int = 0, name: str = "offset", partitions: int | None = None) -> DataFrame:
+    """rows with dense global offsets in the order of columns that identify a row.
+
+    No task sees all rows: rows are dealt by ranges of the order and numbered within their range;
+    only the counts, a row a range, meet in one task.
+    """
+    dealt = _dealt(rows, order, partitions)
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_range", (before + base).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return dealt.join(starts, "_range").withColumn(name, (F.col("_start") + nth).cast("long")).drop("_range", "_start")
+    starts = F.broadcast(counts.select("_range", (before + base).alias("_start")))  # as many as partitions
+    return dealt.join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_nth")).cast("long")).drop("_range", "_start", "_nth")
 
 
 def number_within(rows: DataFrame, key: list[str], order: list[str], name: str = "nth") -> DataFrame:
-    """rows with their number, from 0, within their key; as in assign_offsets() no task sees all rows of a hot key."""
-    dealt = durable(rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()))
-    counts = dealt.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key of a range
-    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*key, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)) - 1
-    return dealt.withColumn("_nth", nth).join(starts, [*key, "_range"]).withColumn(name, (F.col("_start") + F.col("_nth")).cast("long")).drop("_range", "_start", "_nth")
+    """rows with their number, from 0, within their key, null keys too; as in assign_offsets() no task sees all rows of a hot key."""
+    dealt = _dealt(rows, [*key, *order])
+    of = [F.col(k).alias(f"_of_{k}") for k in key]
+    counts = dealt.groupBy(*of, F.col("_range").alias("_of_range")).agg(F.count(F.lit(1)).alias("_n"), F.min("_nth").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*[f"_of_{k}" for k in key]).orderBy("_of_range").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each key of a range; a key's rows of a range stand side by side.
+    starts = small(durable(counts.withColumn("_start", F.coalesce(before, F.lit(0)) - F.col("_first")).drop("_n", "_first")))
+    same = F.col("_range") == F.col("_of_range")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return dealt.join(starts, same).withColumn(name, (F.col("_start") + F.col("_nth")).cast("long")).drop(*[f"_of_{k}" for k in key], "_of_range", "_range", "_start", "_nth")
 
 
 def batch_offsets(batches: DataFrame, batch: str, position: str, base: int = 0, partitions: int | None = None) -> DataFrame:
@@ -160,12 +173,13 @@ def start_positions(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Where subscriptions (topic, start, value, committed) begin to read.
 
     start is earliest, offset (value), time (the first offset at or after value ms; none: the head's next)
-    or committed (earliest where committed is null or negative). A seek by time needs each
-    topic's offsets and times, so messages meet the few subscriptions of their topic.
+    or committed (earliest where committed is null or negative). Times asked for cut a topic's
+    messages; the least offset is taken a cut, once, and then from each cut on.
     """
-    timed = subscriptions.where("start = 'time'").select("topic", F.col("value").alias("_at")).distinct()
-    found = messages.select("topic", "offset", "timestamp").join(F.broadcast(timed), "topic").where(F.col("timestamp") >= F.col("_at"))
-    found = found.groupBy("topic", F.col("_at").alias("value")).agg(F.min("offset").alias("_found"))
+    cuts = durable(subscriptions.where("start = 'time'").select("topic", F.col("value").alias("cut")).where("cut is not null").distinct())
+    least = floor_cut(messages.select("topic", "timestamp", "offset"), cuts, "timestamp").groupBy("topic", "cut").agg(F.min("offset").alias("_least"))
+    later = Window.partitionBy("topic").orderBy(F.desc("cut"))
+    found = cuts.join(least, ["topic", "cut"], "left").select("topic", F.col("cut").alias("value"), F.min("_least").over(later).alias("_found"))
     out = subscriptions.join(found, ["topic", "value"], "left").join(heads(messages), "topic", "left")
     position = (
         F.when(F.col("start") == "offset", F.col("value"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
 from millrace.schema import HISTORY_TICKS
+from millrace.storage import durable, small
 
 
 def request_counters(requests: DataFrame) -> DataFrame:
@@ -30,9 +31,25 @@ def throughput(requests: DataFrame, elapsed_s: Column, n_bytes: str = "n_bytes")
 
 
 def latency_percentiles(requests: DataFrame, value: str = "value") -> DataFrame:
-    """Nearest-rank percentiles, mean and maximum of each type; exact, from counts of different values."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return requests.groupBy("type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), rank(0.999).alias("p999"), S.round4(F.avg(value)).alias("mean"), F.max(value).alias("max"))
+    """Nearest-rank percentiles, mean and maximum of each type; exact, nulls left out.
+
+    Different values are counted and dealt by range; the counts a range tell in which one a rank lies, and
+    only such ranges, four a type at most, are run through. No task holds all values of a type.
+    """
+    ranks = {"p50": "0.5", "p95": "0.95", "p99": "0.99", "p999": "0.999"}
+    sums = durable(requests.groupBy("type").agg(F.count(value).alias("_all"), S.round4(F.avg(value)).alias("mean"), F.max(value).alias("max")))
+    counts = requests.where(F.col(value).isNotNull()).groupBy("type", F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = durable(counts.repartitionByRange("type", "_value").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy("type", "_range").agg(F.sum("_n").alias("_held")).withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    wanted = sums.select("type", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.ceil(F.col("_all") * F.lit(q).cast("decimal(4,3)")).cast("long").alias("rank")) for p, q in ranks.items()])).alias("_w"))
+    found = held.join(wanted, "type").where("_w.rank > _before and _w.rank <= _before + _held")
+    found = found.groupBy("type", "_range").agg(F.collect_list(F.struct("_w.p", (F.col("_w.rank") - F.col("_before")).alias("rank"))).alias("_ranks"))
+    upto = F.sum("_n").over(Window.partitionBy("type", "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    run = dealt.join(small(durable(found)), ["type", "_range"]).withColumn("_upto", upto)
+    of = lambda p: F.min(F.when(F.exists("_ranks", lambda w: (w["p"] == p) & (w["rank"] <= F.col("_upto"))), F.col("_value"))).alias(p)
+    picked = run.groupBy("type").agg(*[of(p) for p in ranks])
+    return sums.join(picked, "type", "left").select("type", *ranks, "mean", "max")
 
 
 def rates(ticks: DataFrame, counter: str, by: list[str], tick: str = "tick") -> DataFrame:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.schema import SEGMENT_BYTES
+from millrace.storage import durable, small
 
 
 def ranges(segments: DataFrame) -> DataFrame:
@@ -35,10 +37,25 @@ def next_segment(offsets: DataFrame, segments: DataFrame, bucket: int = 100_000)
     return _as_of(offsets, segments, bucket, forward=True)
 
 
-def _as_of(offsets: DataFrame, segments: DataFrame, bucket: int, forward: bool) -> DataFrame:
+def floor_cut(rows: DataFrame, cuts: DataFrame, at: str, few: int = 64, most: int = 10_000, bucket: int = 100_000) -> DataFrame:
+    """rows with cut: the greatest of cuts (topic, cut; distinct and durable()) at or below their `at`. Rows below all cuts go.
+
+    Cuts are broadcast, an array a topic, where they were counted to be at most `most`, and `few` a topic: then
+    rows don't move. Otherwise rows and cuts are merged in buckets, as in floor_segment().
+    """
+    sizes = cuts.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if sizes[0] <= most and sizes[1] <= few:
+        per_topic = cuts.groupBy("topic").agg(F.collect_list("cut").alias("_cuts"), F.min("cut").alias("_least"))
+        placed = rows.join(F.broadcast(per_topic), "topic").where(F.col("_least") <= F.col(at))
+        return placed.withColumn("cut", F.array_max(F.filter("_cuts", lambda c: c <= F.col(at)))).drop("_cuts", "_least")
+    carried = tuple(c for c in rows.columns if c not in ("topic", at))
+    return _as_of(rows, cuts.withColumnRenamed("cut", "base"), bucket, False, at, carried).withColumnRenamed("base", "cut").where("cut is not null")
+
+
+def _as_of(offsets: DataFrame, segments: DataFrame, bucket: int, forward: bool, at: str = "offset", carried: tuple[str, ...] = ()) -> DataFrame:
     bases = segments.select("topic", F.col("base").alias("_at"), F.col("base").alias("_base"), F.lit(0).alias("_probe")).distinct()
-    probes = offsets.select("topic", F.col("offset").alias("_at"), F.lit(None).cast("long").alias("_base"), F.lit(1).alias("_probe"))
-    both = bases.unionByName(probes).withColumn("_bucket", F.floor(F.col("_at") / bucket))
+    probes = offsets.select("topic", F.col(at).cast("long").alias("_at"), F.lit(None).cast("long").alias("_base"), F.lit(1).alias("_probe"), *carried)
+    both = bases.unionByName(probes, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / bucket))
     # The base that a bucket begins with (or ends with, forward) comes from the buckets beside it.
     edge = F.min("_base") if forward else F.max("_base")
     edges = both.groupBy("topic", "_bucket").agg(edge.alias("_edge"))
@@ -48,7 +65,7 @@ def _as_of(offsets: DataFrame, segments: DataFrame, bucket: int, forward: bool)
     order = [F.desc("_at"), F.desc("_probe")] if forward else [F.asc("_at"), F.asc("_probe")]
     within = Window.partitionBy("topic", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_seen", F.last("_base", ignorenulls=True).over(within)).where("_probe = 1").join(edges, ["topic", "_bucket"])
-    return found.select("topic", F.col("_at").alias("offset"), F.coalesce("_seen", "_carried").alias("base"))
+    return found.select("topic", F.col("_at").alias(at), F.coalesce("_seen", "_carried").alias("base"), *carried)
 
 
 def expired(segments: DataFrame, now_ms: Column, retention_ms: int) -> DataFrame:
@@ -57,11 +74,16 @@ def expired(segments: DataFrame, now_ms: Column, retention_ms: int) -> DataFrame
 
 
 def with_archive(hot: DataFrame, archived: DataFrame) -> DataFrame:
-    """Hot and archived messages; of those with one topic and offset, the hot one."""
-    both = hot.withColumn("_tier", F.lit(0)).unionByName(archived.withColumn("_tier", F.lit(1)), allowMissingColumns=True)
-    columns = [c for c in both.columns if c not in ("topic", "offset", "_tier")]
-    best = both.groupBy("topic", "offset").agg(F.min_by(F.struct(*columns), "_tier").alias("_row"))
-    return best.select("topic", "offset", "_row.*")
+    """Hot and archived messages; of those with one topic and offset, the hot one.
+
+    Hot messages don't move, nor do archived ones below the first hot offset of their topic; only
+    the others look for their offset among the hot.
+    """
+    first = small(durable(hot.groupBy("topic").agg(F.min("offset").alias("_first"))))
+    placed = archived.join(first, "topic", "left")
+    clear = F.col("_first").isNull() | (F.col("offset") < F.col("_first"))
+    beside = placed.where(~clear).join(hot.select("topic", "offset"), ["topic", "offset"], "left_anti")
+    return hot.unionByName(placed.where(clear).unionByName(beside).drop("_first"), allowMissingColumns=True)
 
 
 def catch_up(segments: DataFrame, follower: DataFrame) -> DataFrame:
@@ -73,20 +95,25 @@ def catch_up(segments: DataFrame, follower: DataFrame) -> DataFrame:
 def roll(messages: DataFrame, size: str = "n_bytes", limit: int = SEGMENT_BYTES) -> DataFrame:
     """messages (topic, offset, size) with segment_base: a new segment begins where the one before has `limit` bytes or more.
 
-    A topic's first segment has base 0. Where a segment ends depends on all before it, so a
-    topic is one sequential fold; batches stream through it, and its state is two numbers.
+    A topic's first segment has base 0. Where a segment ends depends on all before it, so a topic is one sequential
+    fold; batches of two numbers a message stream through it, each searched once a segment, and its state is two numbers.
     """
+    if limit <= 0:
+        raise ValueError("limit must be positive")
     schema = f"{messages.select('topic', 'offset', size).schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, segment_base long"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, held = 0, 0
         for batch in batches:
-            bases = []
-            for offset, n in zip(batch["offset"], batch[size], strict=True):
-                if held >= limit:
-                    base, held = offset, 0
-                held += n
-                bases.append(base)
+            sizes, offsets = batch[size].to_numpy(np.int64), batch["offset"].to_numpy()
+            total = np.cumsum(sizes)
+            before, bases = total - sizes, np.empty(len(sizes), np.int64)
+            at, began = 0, -held
+            while (end := int(np.searchsorted(before, began + limit))) < len(sizes):
+                bases[at:end] = base
+                at, base, began = end, int(offsets[end]), int(before[end])
+            bases[at:] = base
+            held = int(total[-1]) - began
             yield batch.assign(segment_base=bases)
 
     return _in_order(messages.select("topic", "offset", size), ["topic"], ["offset"], fold, schema)

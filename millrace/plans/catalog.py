@@ -889,20 +889,16 @@ def _fresh(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"
 
 
-def _name(kind: str) -> str:
-    return f"{kind}_{uuid.uuid4().hex}"
-
-
 @query("stream_topic_counts", "SELECT topic, count(*) AS n_messages FROM messages GROUP BY topic")
 def stream_topic_counts(spark, d):
     stream = _stream(spark, d, "events").select(F.col("event_type").alias("topic"))
-    return streams.drain(log.topic_counts(stream), _name("counts"), _fresh(spark, "stream"))
+    return streams.drain(log.topic_counts(stream), ["topic"], _fresh(spark, "counts"), _fresh(spark, "stream"))
 
 
 @query("stream_rates", _TICKS + "SELECT topic, tick, n, CAST(coalesce(greatest(0, total - lag(total) OVER (PARTITION BY topic ORDER BY tick)), 0) AS BIGINT) AS rate FROM ticks")
 def stream_rates(spark, d):
     stream = _stream(spark, d, "events").select(F.col("event_type").alias("topic"), F.floor(S.epoch_ms("ts") / 3_600_000).cast("long").alias("tick"))
-    hours = streams.drain(stream.groupBy("topic", "tick").agg(F.count(F.lit(1)).alias("n")), _name("rates"), _fresh(spark, "stream"))
+    hours = streams.drain(stream.groupBy("topic", "tick").agg(F.count(F.lit(1)).alias("n")), ["topic", "tick"], _fresh(spark, "rates"), _fresh(spark, "stream"))
     total = F.sum("n").over(Window.partitionBy("topic").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0))
     return metrics.rates(hours.withColumn("total", total), "total", ["topic"]).select("topic", "tick", "n", "rate")
 
@@ -910,7 +906,7 @@ def stream_rates(spark, d):
 @query("stream_dlq", """SELECT l_orderkey AS "offset", count(*) AS attempts FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 5""", plain=True)
 def stream_dlq(spark, d):
     nacks = _stream(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("offset")).agg(F.count(F.lit(1)).alias("attempts"))
-    return streams.drain(nacks.where("attempts >= 5"), _name("dlq"), _fresh(spark, "stream"))
+    return streams.drain(nacks.where("attempts >= 5"), ["offset"], _fresh(spark, "dlq"), _fresh(spark, "stream"))  # counts only grow
 
 
 @query("stream_append", """SELECT "offset", topic, key, payload, "timestamp" FROM messages""")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.groups import REPLAY, GroupFold
 from millrace.operators.log import assign_offsets
@@ -28,38 +29,43 @@ class Ledger:
         self._path = jvm.Path
         self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[dict]:
+    def _published(self) -> list[int]:
+        """Numbers of the published batches, ascending: one listing, no file is opened."""
         folder = self._path(f"{self.path}/_commits")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        numbers = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
-        found = []
-        for n in numbers:
-            stream = self._fs.open(self._path(f"{self.path}/_commits/{n:020d}.json"))
-            try:
-                found.append(json.loads(bytes(stream.readAllBytes())))
-            finally:
-                stream.close()
-        return found
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def _manifest(self, batch_id: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/_commits/{batch_id:020d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def next_offset(self) -> int:
-        last = self._manifests()[-1:]
-        return last[0]["base_offset"] + last[0]["count"] if last else 0
+        published = self._published()
+        return self._end(published[-1]) if published else 0
+
+    def _end(self, batch_id: int) -> int:
+        last = self._manifest(batch_id)
+        return last["base_offset"] + last["count"]
 
     def append_batch(self, entries: DataFrame, order: list[str], stored_at_ms: int, batch_id: int | None = None) -> int:
         """Appends entries in order as one batch; how many there were. A batch_id that is published already is passed over."""
-        manifests = self._manifests()
+        published = self._published()
         if batch_id is None:
-            batch_id = manifests[-1]["batch_id"] + 1 if manifests else 0
-        if any(m["batch_id"] == batch_id for m in manifests):
+            batch_id = published[-1] + 1 if published else 0
+        if batch_id in published:
             return 0
-        base = manifests[-1]["base_offset"] + manifests[-1]["count"] if manifests else 0
+        base = self._end(published[-1]) if published else 0
         rows = assign_offsets(entries, order, base).withColumn("stored_at", F.lit(stored_at_ms).cast("long"))
         rows.write.mode("overwrite").partitionBy("topic").parquet(f"{self.path}/batch={batch_id}")
-        written = self.spark.read.parquet(f"{self.path}/batch={batch_id}").groupBy("topic").count().collect()  # one row a topic
+        # Topics are folders here and counts come from footers: no column is read again. One row a topic.
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/batch={batch_id}").groupBy("topic").count().collect()
         counts = {r["topic"]: r["count"] for r in written}
-        self._publish({"batch_id": batch_id, "base_offset": base, "count": sum(counts.values()), "topics": counts})
+        self._publish({"batch_id": batch_id, "base_offset": base, "count": sum(counts.values()), "topics": counts, "schema": rows.schema.json()})
         return sum(counts.values())
 
     def _publish(self, manifest: dict) -> None:
@@ -73,10 +79,11 @@ class Ledger:
 
     def read(self) -> DataFrame:
         """All published messages; an empty ledger has none to read."""
-        paths = [f"{self.path}/batch={m['batch_id']}" for m in self._manifests() if m["count"]]
-        if not paths:
+        published = self._published()
+        if not published:
             raise ValueError(f"nothing is published in {self.path}")
-        return self.spark.read.option("basePath", self.path).parquet(*paths).drop("batch")
+        schema = StructType.fromJson(json.loads(self._manifest(published[-1])["schema"]))
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/batch={n}" for n in published]).drop("batch")
 
 
 def append_stream(stream: DataFrame, ledger: Ledger, order: list[str], stored_at_ms: int, checkpoint: str) -> None:
@@ -88,10 +95,22 @@ def append_stream(stream: DataFrame, ledger: Ledger, order: list[str], stored_at
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """The result of a stream that has as few rows as a report, once all input is read."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+    """The rows of an aggregated stream, one for each of its keys, once all input is read.
+
+    Each micro-batch writes the rows that it changed to its own folder, again if it runs again; of a key's
+    rows the last one counts. Nothing passes through the driver.
+    """
+    schema = stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    stream.sparkSession.createDataFrame([], schema).write.parquet(f"{folder}/batch=-1")  # for a stream without input
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changed = stream.sparkSession.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(folder)
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("_row"))
+    return last.select("_row.*")
 
 
 def replay_stream(commands: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
