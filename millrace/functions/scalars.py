@@ -143,3 +143,57 @@ def record_bytes(offset: Column, topic: Column, payload: Column, key: Column, ti
     size = lambda x: F.coalesce(F.octet_length(x), F.lit(0))
     keyed = F.when(key.isNull(), 0).otherwise(1 + varint_bytes(size(key)) + size(key))
     return (4 + number(offset) + block(size(topic)) + block(size(payload)) + keyed + number(timestamp) + number(stored_at)).cast("long")
+
+
+# 32-bit arithmetic is done in longs, cut to their low half. Offset and prime of the published FNV-1a hash,
+# and what stands in for a seed of 0.
+_LOW = 0xFFFFFFFF
+_FNV_OFFSET, _FNV_PRIME, _SEED = 2166136261, 16777619, 0x9E3779B9
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a hash of the UTF-16 units of a text, as a long from 0 on; null for null."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 4).cast("int") - 1), lambda k: F.conv(F.substring(digits, k * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    step = lambda h, u: (h.bitwiseXOR(u) * _FNV_PRIME).bitwiseAND(F.lit(_LOW))
+    start = F.lit(_FNV_OFFSET).cast("long")
+    return F.when(F.length(text) == 0, start).when(text.isNotNull(), F.aggregate(units, start, step))
+
+
+def xorshift32(seed: Column, n: int) -> Column:
+    """The first n numbers, 0 to 1, of the xorshift generator (13, 17, 5) that a seed starts, as an array."""
+    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+
+    def step(state: Column, _: Column) -> Column:
+        a = state["s"].bitwiseXOR(low(F.shiftleft(state["s"], 13)))
+        b = a.bitwiseXOR(F.shiftright(a, 17))
+        c = b.bitwiseXOR(low(F.shiftleft(b, 5)))
+        return F.struct(c.alias("s"), F.concat(state["out"], F.array(c / F.lit(4294967296.0))).alias("out"))
+
+    start = F.struct(F.when(seed == 0, F.lit(_SEED)).otherwise(seed).cast("long").alias("s"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)["out"] if n > 0 else F.array().cast("array<double>")
+
+
+def leader_of(error: Column) -> Column:
+    """(redirected, host, port) of an error text: whether it says that another node leads, and where, if it tells one address with a port."""
+    redirected = F.coalesce(error.startswith("NOT_LEADER:"), F.lit(False))
+    at = F.when(redirected, F.regexp_replace(error, "^NOT_LEADER:", ""))
+    host, port = F.regexp_extract(at, r"^([^:]*):([+-]?\d+):*$", 1), F.try_to_number(F.regexp_extract(at, r"^([^:]*):[+]?(-?\d+):*$", 2), F.lit("S9999999999")).cast("int")
+    known = redirected & at.rlike(r"^[^:]*:[+-]?\d+:*$") & port.isNotNull()
+    return F.struct(redirected.alias("redirected"), F.when(known, host).alias("host"), F.when(known, port).alias("port"))
+
+
+def retry_starts(first_ms: int = 100, most_ms: int = 2000, budget_ms: int = 120_000) -> Column:
+    """When attempts start, in ms from the first, if each fails at once: waits double up to most_ms, and none starts beyond the budget."""
+    starts, wait = [0], first_ms
+    while starts[-1] + wait <= budget_ms:
+        starts.append(starts[-1] + wait)
+        wait = min(most_ms, 2 * wait)
+    return F.array(*map(F.lit, starts)).cast("array<long>")
+
+
+def election_timeout(seed: Column, low_ms: int = 1000, high_ms: int = 2000, starting: bool = False) -> Column:
+    """A wait from low_ms to below high_ms, drawn by a hash of a seed text; three times high_ms at start-up."""
+    if starting:
+        return F.lit(3 * high_ms).cast("long")
+    return low_ms + F.conv(F.substring(F.md5(F.encode(seed, "UTF-8")), 1, 8), 16, 10).cast("long") % (high_ms - low_ms)

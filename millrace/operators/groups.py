@@ -97,6 +97,28 @@ def dead_letters(nacks: DataFrame, messages: DataFrame, most: int = MAX_DELIVERI
     return found.select(S.dlq_topic(F.col("group"), F.col("topic"), prefix).alias("dlq_topic"), "offset", "key", "payload", "timestamp", "attempts")
 
 
+def delivery_attempts(nacks: DataFrame, expired: DataFrame, most: int = MAX_DELIVERIES) -> DataFrame:
+    """(group, topic, offset) with failures, attempts since the last dead letter, and dead_letters.
+
+    Rejections (nacks) and expiries of leases (expired: group, topic, from_offset) share a count, that of
+    a lease at its first offset; the count begins anew when it reaches most and the message is a dead letter.
+    """
+    keys = ["group", "topic", "offset"]
+    failed = nacks.select(*keys).unionByName(expired.select("group", "topic", F.col("from_offset").alias("offset")))
+    counted = failed.groupBy(*keys).agg(F.count(F.lit(1)).alias("failures"))
+    return counted.withColumns({"attempts": F.col("failures") % most, "dead_letters": F.floor(F.col("failures") / most).cast("long")})
+
+
+def poll(committed: DataFrame, messages: DataFrame, n: int) -> DataFrame:
+    """Of each (group, topic, committed) the next n messages: what its only consumer gets; commit what log.auto_commit() makes of it.
+
+    Each task keeps the first n of its own messages of a group and topic before they meet.
+    """
+    due = messages.join(small(durable(committed.select("group", "topic", "committed"))), "topic").where(F.col("offset") >= F.col("committed")).drop("committed")
+    nth = F.row_number().over(Window.partitionBy("group", "topic").orderBy("offset"))
+    return due.withColumn("_n", nth).where(F.col("_n") <= max(0, n)).drop("_n")
+
+
 def redeliveries(leases: DataFrame, messages: DataFrame, now_ms: Column, bucket: int = 1024) -> DataFrame:
     """Messages of leases (group, topic, consumer, from_offset, to_offset, expires_at) that have expired: what is delivered again.
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
 from millrace.schema import QUORUM_CONTACT_MS, RPC_BYTES, RPC_ENTRIES, STALE_PROPOSAL_MS
+from millrace.storage import durable, small
 
 
 def quorum_commit(replicas: DataFrame, by: list[str], match: str = "match_index") -> DataFrame:
@@ -116,3 +117,40 @@ def replay(raft_log: DataFrame, commit: int) -> tuple[DataFrame, DataFrame]:
     messages = assign_offsets(done.where("command_type = 'MESSAGE'"), ["index"])
     commits = done.where("command_type = 'OFFSET_COMMIT'").groupBy(F.col("consumer_group").alias("group"), "topic").agg(F.max_by("offset_value", "index").alias("committed"))
     return messages.select("offset", "topic", "payload", "key", "timestamp"), commits
+
+
+def votes(requests: DataFrame, nodes: DataFrame, now_ms: Column, within_ms: int = 2000) -> DataFrame:
+    """What nodes answer to a request each (node, term, candidate, last_index, last_term): pre_vote and vote, and the term after the vote.
+
+    nodes: node, current_term, voted_for, own_index, own_term, is_leader, heartbeat_ms (0 or null: none yet). A vote takes a term not below the
+    node's own, no vote for another in it, and a log as new as its own; a newer term forgets the vote given before. A pre-vote
+    takes a newer term, no leader heard of lately, and the same of the log.
+    """
+    both = requests.join(nodes, "node")
+    new_log = S.up_to_date(F.col("last_term"), F.col("last_index"), F.col("own_term"), F.col("own_index"))
+    newer = F.col("term") > F.col("current_term")
+    free = newer | F.col("voted_for").isNull() | (F.col("voted_for") == F.col("candidate"))
+    heard = F.coalesce(F.col("heartbeat_ms"), F.lit(0))
+    alive = F.col("is_leader") | ((heard > 0) & (now_ms - heard < within_ms))
+    return both.select(
+        "node", "candidate", (newer & ~alive & new_log).alias("pre_vote"),
+        ((F.col("term") >= F.col("current_term")) & free & new_log).alias("vote"), F.greatest("term", "current_term").alias("term"),
+    )
+
+
+def _bounded(entries: DataFrame, cuts: DataFrame, log: str) -> DataFrame:
+    """entries with the cut of their log (log, at; null where there is none) and its first and last index; a row a log is sent along."""
+    bounds = entries.groupBy(log).agg(F.min("index").alias("_first"), F.max("index").alias("_last"))
+    return entries.join(small(durable(bounds.join(cuts.select(log, F.col("at").alias("_at")), log))), log, "left")
+
+
+def truncate_from(entries: DataFrame, cuts: DataFrame, log: str) -> DataFrame:
+    """entries without those of a log from its cut on; a cut outside the log changes nothing."""
+    gone = (F.col("_at") >= F.col("_first")) & (F.col("_at") <= F.col("_last")) & (F.col("index") >= F.col("_at"))
+    return _bounded(entries, cuts, log).where(~F.coalesce(gone, F.lit(False))).select(entries.columns)
+
+
+def compact(entries: DataFrame, cuts: DataFrame, log: str) -> DataFrame:
+    """entries without those of a log up to its cut, that one too; a cut at or before the first index or beyond the last changes nothing."""
+    gone = (F.col("_at") > F.col("_first")) & (F.col("_at") <= F.col("_last")) & (F.col("index") <= F.col("_at"))
+    return _bounded(entries, cuts, log).where(~F.coalesce(gone, F.lit(False))).select(entries.columns)

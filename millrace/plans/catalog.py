@@ -952,7 +952,100 @@ def producer_batches(spark, d):
     return segments.producer_batches(sent, most_bytes=64, linger_ms=4 * 3600 * 1000)
 
 
-# 11. Extensions: not in the reference; Spark's own windows over the log.
+# 11. Clients and elections, as far as they are decisions over rows.
+
+
+@query("leader_redirect", """SELECT n_nationkey AS node_id, n_nationkey % 5 <> 4 AS redirected, CASE WHEN n_nationkey % 5 < 2 THEN 'host' || n_nationkey END AS host,
+    CASE WHEN n_nationkey % 5 < 2 THEN CAST(9000 + n_nationkey AS INTEGER) END AS port FROM nation""", plain=True)
+def leader_redirect(spark, d):
+    n = F.col("n_nationkey").cast("string")
+    whole = F.concat(F.lit("NOT_LEADER:host"), n, F.lit(":"), (9000 + F.col("n_nationkey")).cast("string"))
+    turn = F.col("n_nationkey") % 5
+    error = F.when(turn < 2, whole).when(turn == 2, "NOT_LEADER:UNKNOWN").when(turn == 3, F.concat(whole, F.lit(":x"))).otherwise("timed out")
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"), S.leader_of(error).alias("r")).select("node_id", "r.*")
+
+
+_HASHES = """WITH h AS (SELECT n_name AS name, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(n_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) % 4294967296) AS hash FROM nation),
+a AS (SELECT *, xor(hash, (hash * 8192) % 4294967296) AS s FROM h), b AS (SELECT name, hash, xor(s, s // 131072) AS s FROM a), c AS (SELECT name, hash, xor(s, (s * 32) % 4294967296) AS s FROM b)
+SELECT name, hash, s / 4294967296.0::DOUBLE AS drawn FROM c"""
+
+
+@query("name_hash", _HASHES, plain=True)
+def name_hash(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"), S.fnv1a(F.col("n_name")).alias("hash"))
+    return names.select("name", "hash", F.get(S.xorshift32(F.col("hash"), 1), F.lit(0)).alias("drawn"))
+
+
+@query("retry_schedule", """WITH RECURSIVE r AS (SELECT 0::BIGINT AS attempt, 0::BIGINT AS at_ms, 100::BIGINT AS wait
+    UNION ALL SELECT attempt + 1, at_ms + wait, least(2000, 2 * wait) FROM r WHERE at_ms + wait <= 120000)
+SELECT n_nationkey AS node_id, attempt, at_ms FROM r, nation""", plain=True)
+def retry_schedule(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("node_id"), F.posexplode(S.retry_starts()).alias("attempt", "at_ms"))
+    return rows.select("node_id", F.col("attempt").cast("long").alias("attempt"), "at_ms")
+
+
+@query("election_timeouts", """SELECT node_id, 1000 + CAST('0x' || substr(md5('n' || node_id), 1, 8) AS BIGINT) % 1000 AS timeout_ms, CAST(6000 AS BIGINT) AS startup_ms FROM replicas""")
+def election_timeouts(spark, d):
+    seed = F.concat(F.lit("n"), F.col("node_id").cast("string"))
+    return _replicas(spark, d).select("node_id", S.election_timeout(seed).alias("timeout_ms"), S.election_timeout(seed, starting=True).alias("startup_ms"))
+
+
+@query("votes", """,
+n AS (SELECT node_id, node_id % 4 AS own_term, match_index AS own_index, contact_ms, max(contact_ms) OVER () AS now FROM replicas),
+r AS (SELECT *, own_term + node_id % 3 - 1 AS term, CASE WHEN node_id % 2 = 0 THEN 'a' ELSE 'b' END AS candidate, CASE WHEN node_id % 5 = 0 THEN own_index - 1 ELSE own_index END AS last_index,
+    CASE WHEN node_id % 7 = 0 THEN NULL ELSE 'a' END AS voted_for FROM n)
+SELECT node_id AS node, candidate, term > own_term AND NOT (node_id % 11 = 0 OR now - contact_ms < 3600000) AND last_index >= own_index AS pre_vote,
+    term >= own_term AND (term > own_term OR voted_for IS NULL OR voted_for = candidate) AND last_index >= own_index AS vote, greatest(term, own_term) AS term FROM r""")
+def votes(spark, d):
+    n = _replicas(spark, d)
+    k = F.col("node_id")
+    now = n.agg(F.max("contact_ms")).first()[0]
+    nodes = n.select(k.alias("node"), (k % 4).alias("current_term"), F.when(k % 7 != 0, "a").alias("voted_for"), F.col("match_index").alias("own_index"), (k % 4).alias("own_term"), (k % 11 == 0).alias("is_leader"), F.col("contact_ms").alias("heartbeat_ms"))
+    last = F.when(k % 5 == 0, F.col("match_index") - 1).otherwise(F.col("match_index"))
+    requests = n.select(k.alias("node"), (k % 4 + k % 3 - 1).alias("term"), F.when(k % 2 == 0, "a").otherwise("b").alias("candidate"), last.alias("last_index"), (k % 4).alias("last_term"))
+    return replica.votes(requests, nodes, F.lit(now), within_ms=3_600_000)
+
+
+_CUTS = """,
+e AS (SELECT topic, "offset" AS index FROM messages),
+b AS (SELECT topic, min(index) AS low, max(index) AS high, CASE topic WHEN 'click' THEN max(index) // 2 WHEN 'view' THEN max(index) + 1 WHEN 'error' THEN min(index) END AS cut_at FROM e GROUP BY topic)
+SELECT topic, index FROM e JOIN b USING (topic) WHERE """
+
+
+def _cut_logs(spark, d):
+    entries = messages(spark, d).select("topic", F.col("offset").alias("index"))
+    at = F.when(F.col("topic") == "click", F.expr("max(index) div 2")).when(F.col("topic") == "view", F.max("index") + 1).when(F.col("topic") == "error", F.min("index"))
+    return entries, entries.groupBy("topic").agg(at.alias("at"))
+
+
+@query("log_truncate", _CUTS + "cut_at IS NULL OR cut_at < low OR cut_at > high OR index < cut_at")
+def log_truncate(spark, d):
+    return replica.truncate_from(*_cut_logs(spark, d), "topic")
+
+
+@query("log_compact", _CUTS + "cut_at IS NULL OR cut_at <= low OR cut_at > high OR index > cut_at")
+def log_compact(spark, d):
+    return replica.compact(*_cut_logs(spark, d), "topic")
+
+
+@query("delivery_attempts", """,
+failed AS (SELECT 'g' || (user_id % 3) AS "group", topic, "offset" // 10 AS "offset" FROM messages WHERE "offset" % 3 = 0
+    UNION ALL SELECT 'g' || (user_id % 3), topic, "offset" // 10 FROM messages WHERE "offset" % 3 = 1)
+SELECT "group", topic, "offset", count(*) AS failures, count(*) % 2 AS attempts, count(*) // 2 AS dead_letters FROM failed GROUP BY ALL""")
+def delivery_attempts(spark, d):
+    m = messages(spark, d)
+    failed = m.select(F.concat(F.lit("g"), (F.col("key").cast("long") % 3).cast("string")).alias("group"), "topic", F.expr("offset div 10").alias("from_offset"), F.col("offset").alias("_at"))
+    return groups.delivery_attempts(failed.where("_at % 3 = 0").withColumnRenamed("from_offset", "offset"), failed.where("_at % 3 = 1"), most=2)
+
+
+@query("group_poll", """,
+p AS (SELECT g."group", g.topic, m."offset", m.payload, row_number() OVER (PARTITION BY g."group", g.topic ORDER BY m."offset") AS n FROM groups g JOIN messages m ON m.topic = g.topic AND m."offset" >= committed)
+SELECT "group", topic, "offset", payload FROM p WHERE n <= 20""")
+def group_poll(spark, d):
+    return groups.poll(_committed(spark, d), messages(spark, d), 20).select("group", "topic", "offset", "payload")
+
+
+# 12. Extensions: not in the reference; Spark's own windows over the log.
 
 
 @query("ext_tumbling_counts", """SELECT topic, date_trunc('hour', ts) AS window_start, count(*) AS n FROM messages GROUP BY 1, 2""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.groups import REPLAY, GroupFold
-from millrace.operators.log import assign_offsets
+from millrace.operators.log import assign_offsets, read_from
 from millrace.schema import LEASE_MS, MAX_DELIVERIES
 
 
@@ -86,6 +87,25 @@ class Ledger:
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/batch={n}" for n in published]).drop("batch")
 
 
+def long_poll(ledger: Ledger, topic: str, offset: int, n: int, timeout_s: float, every_s: float = 0.2) -> DataFrame:
+    """The first n messages of a topic from an offset on, as soon as there are any; none once timeout_s is over.
+
+    Between looks only the name of the last manifest is asked for; a query runs where it has changed.
+    """
+    until, seen = time.monotonic() + timeout_s, None
+    while True:
+        published = ledger._published()[-1:]
+        if published and published != seen:
+            found = read_from(ledger.read(), topic, offset, n)
+            if n <= 0 or not found.isEmpty():
+                return found
+        seen = published
+        if time.monotonic() >= until:
+            break
+        time.sleep(min(every_s, max(0.0, until - time.monotonic())))
+    return read_from(ledger.read(), topic, offset, 0)
+
+
 def append_stream(stream: DataFrame, ledger: Ledger, order: list[str], stored_at_ms: int, checkpoint: str) -> None:
     """Appends what a stream has now to a ledger, micro-batch by micro-batch."""
 

@@ -91,3 +91,54 @@ def test_ledger_with_an_empty_batch(spark, tmp_path):
     rows = lambda *keys: spark.createDataFrame([(k, "t") for k in keys], "k long, topic string")
     assert [ledger.append_batch(rows(*ks), ["k"], 7) for ks in ((), (1, 2), (), (3,))] == [0, 2, 0, 1]
     assert [(r.offset, r.k) for r in ledger.read().orderBy("offset").collect()] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_long_poll_waits_for_an_append(spark, tmp_path):
+    import threading
+    import time
+
+    ledger = streams.Ledger(spark, str(tmp_path / "log"))
+    rows = lambda *keys: spark.createDataFrame([(k, "t") for k in keys], "k long, topic string")
+    ledger.append_batch(rows(1), ["k"], 7)
+    assert streams.long_poll(ledger, "t", 1, 5, timeout_s=0.1).count() == 0
+    assert [r.k for r in streams.long_poll(ledger, "t", 0, 5, timeout_s=0).collect()] == [1]
+    later = threading.Thread(target=lambda: (time.sleep(0.5), ledger.append_batch(rows(2, 3), ["k"], 8)))
+    later.start()
+    found = streams.long_poll(ledger, "t", 1, 1, timeout_s=60)
+    later.join()
+    assert [(r.offset, r.k) for r in found.collect()] == [(1, 2)]
+
+
+def test_hashes_and_draws(spark):
+    from millrace.functions import scalars as S
+
+    def draws(s, n):
+        s, out = s or 0x9E3779B9, []
+        for _ in range(n):
+            s ^= s << 13 & 0xFFFFFFFF
+            s ^= s >> 17
+            s ^= s << 5 & 0xFFFFFFFF
+            out.append(s / 2**32)
+        return out
+
+    texts = ["", "a", "foobar", "é😀", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fnv1a(F.col("t")).alias("h"))
+    found = {r.t: r.h for r in df.collect()}
+    assert found[""] == 0x811C9DC5 and found["a"] == 0xE40C292C and found["foobar"] == 0xBF9CF968 and found[None] is None  # published values
+    h = 0x811C9DC5
+    for unit in (0xE9, 0xD83D, 0xDE00):
+        h = (h ^ unit) * 16777619 & 0xFFFFFFFF
+    assert found["é😀"] == h
+    seeds = [0, 1, 0xFFFFFFFF, 12345]
+    for r in spark.createDataFrame([(s,) for s in seeds], "s long").select("s", S.xorshift32(F.col("s"), 4).alias("d")).collect():
+        assert r.d == draws(r.s, 4)
+
+
+def test_redirects_and_retries(spark):
+    from millrace.functions import scalars as S
+
+    cases = {"NOT_LEADER:h:1": (True, "h", 1), "NOT_LEADER:h:1::": (True, "h", 1), "NOT_LEADER:h:x": (True, None, None), "NOT_LEADER:UNKNOWN": (True, None, None), "NOT_LEADER:": (True, None, None), "other": (False, None, None), None: (False, None, None)}
+    for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", S.leader_of(F.col("t")).alias("r")).collect():
+        assert tuple(r.r) == cases[r.t], r.t
+    starts = spark.range(1).select(S.retry_starts()).first()[0]
+    assert starts[:7] == [0, 100, 300, 700, 1500, 3100, 5100] and starts[-1] <= 120_000 < starts[-1] + 2000
