@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
-from millrace.operators.segments import floor_cut
+from millrace.operators.segments import _dealt, floor_cut
 from millrace.schema import CACHED_PER_TOPIC, INDEX_EVERY, INDEX_KEPT, MAX_BATCH_BYTES, MAX_BATCH_MESSAGES, page_limit
 from millrace.storage import durable, small
 
@@ -92,17 +92,6 @@ def sparse_index(messages: DataFrame, every: int = INDEX_EVERY, kept: int = INDE
     return rows.withColumn("_n", newest).where(F.col("_n") <= kept).select("topic", "offset")
 
 
-def _dealt(rows: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """rows dealt by ranges of an order, with _range and their number _nth, from 0, within it.
-
-    Partitions are sorted where they lie, so numbering shuffles nothing more. The dealing is kept in
-    the shared folder, so that counts and numbers agree.
-    """
-    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    number = F.monotonically_increasing_id()  # the partition, then 33 bits that count its rows
-    return durable(dealt.sortWithinPartitions(*order).withColumns({"_range": F.shiftright(number, 33), "_nth": number.bitwiseAND(F.lit((1 << 33) - 1))}))
-
-
 def assign_offsets(rows: DataFrame, order: list[str], base: int = 0, name: str = "offset", partitions: int | None = None) -> DataFrame:
     """rows with dense global offsets in the order of columns that identify a row.
 

@@ -18,6 +18,17 @@ from millrace.schema import SEGMENT_BYTES
 from millrace.storage import durable, small
 
 
+def _dealt(rows: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """rows dealt by ranges of an order, with _range and their number _nth, from 0, within it.
+
+    Partitions are sorted where they lie, so numbering shuffles nothing more. The dealing is kept in
+    the shared folder, so that counts and numbers agree.
+    """
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    number = F.monotonically_increasing_id()  # the partition, then 33 bits that count its rows
+    return durable(dealt.sortWithinPartitions(*order).withColumns({"_range": F.shiftright(number, 33), "_nth": number.bitwiseAND(F.lit((1 << 33) - 1))}))
+
+
 def ranges(segments: DataFrame) -> DataFrame:
     """segments (topic, base) with next_base; null for the active, last one."""
     return segments.withColumn("next_base", F.lead("base").over(Window.partitionBy("topic").orderBy("base")))
@@ -95,17 +106,48 @@ def catch_up(segments: DataFrame, follower: DataFrame) -> DataFrame:
 def roll(messages: DataFrame, size: str = "n_bytes", limit: int = SEGMENT_BYTES) -> DataFrame:
     """messages (topic, offset, size) with segment_base: a new segment begins where the one before has `limit` bytes or more.
 
-    A topic's first segment has base 0. Where a segment ends depends on all before it, so a topic is one sequential
-    fold; batches of two numbers a message stream through it, each searched once a segment, and its state is two numbers.
+    A topic's first segment has base 0; a null size counts as 0. Where a segment ends depends on all before it, yet no
+    task sees a whole topic: messages are dealt by ranges, and a range tells, for each row at which its first segment may begin,
+    where its last one then does. Topics follow these answers from range to range, and ranges are cut side by side.
+    Answers that agree are merged; there are at most as many as a segment has messages.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    schema = f"{messages.select('topic', 'offset', size).schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, segment_base long"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = _dealt(messages.select("topic", "offset", size), ["topic", "offset"]).drop("_nth")
+
+    def answers(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(parts))
+        offsets, sizes = part["offset"].to_numpy(), part[size].fillna(0).to_numpy(np.int64)
+        total, n = int(sizes.sum()), len(sizes)
+        before = np.cumsum(sizes) - sizes
+        entries = np.arange(min(n, int(np.searchsorted(before, limit)) + 1))
+        last, place = entries, entries  # of each entry: the last segment's first row so far; place of it among the different ones
+        while len(last):
+            after = np.searchsorted(before, before[last] + limit)
+            if (after == n).all():
+                break
+            last, same = np.unique(np.where(after < n, after, last), return_inverse=True)
+            place = same[place]
+        ends = np.flatnonzero(np.diff(place, append=-1))  # the last entry of those with one answer
+        at = last[place[ends]]
+        yield pd.DataFrame({"topic": [key[0]], "_range": [key[1]], "total": [total], "upto": [before[ends]], "bases": [offsets[at]], "held": [total - before[at]]})
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, held = 0, 0
-        for batch in batches:
-            sizes, offsets = batch[size].to_numpy(np.int64), batch["offset"].to_numpy()
+        for part in parts:
+            given = []
+            for r in part.itertuples():
+                given.append((base, held))
+                at = int(np.searchsorted(r.upto, limit - held))
+                base, held = (int(r.bases[at]), int(r.held[at])) if at < len(r.upto) else (base, held + r.total)
+            yield pd.DataFrame({"topic": key[0], "_range": part["_range"], "_base": [x[0] for x in given], "_held": [x[1] for x in given]})
+
+    def cut(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = held = None
+        for part in parts:
+            if base is None:
+                base, held = int(part["_base"].iloc[0]), int(part["_held"].iloc[0])
+            offsets, sizes = part["offset"].to_numpy(), part[size].fillna(0).to_numpy(np.int64)
             total = np.cumsum(sizes)
             before, bases = total - sizes, np.empty(len(sizes), np.int64)
             at, began = 0, -held
@@ -114,13 +156,17 @@ def roll(messages: DataFrame, size: str = "n_bytes", limit: int = SEGMENT_BYTES)
                 at, base, began = end, int(offsets[end]), int(before[end])
             bases[at:] = base
             held = int(total[-1]) - began
-            yield batch.assign(segment_base=bases)
+            yield part[["topic", "offset", size]].assign(segment_base=bases)
 
-    return _in_order(messages.select("topic", "offset", size), ["topic"], ["offset"], fold, schema)
+    keys = ["topic", "_range"]
+    told = rows.mapInPandas(_by_run(keys, answers), "topic string, _range long, total long, upto array<long>, bases array<long>, held array<long>")
+    entered = small(durable(_in_order(told, ["topic"], ["_range"], follow, "topic string, _range long, _base long, _held long")))
+    schema = f"{messages.select('topic', 'offset', size).schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, segment_base long"
+    return rows.join(entered, keys).sortWithinPartitions(*keys, "offset").mapInPandas(_by_run(keys, cut), schema)
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
-    """fold(key, batches) for each key, with its rows in order, batch by batch: no key is held whole in memory."""
+def _by_run(keys: list[str], fold):
+    """What mapInPandas needs to apply fold(key, batches) to each run of rows with one key, batch by batch: no run is held whole."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def runs() -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -144,7 +190,12 @@ def _in_order(rows: DataFrame, keys: list[str], order: list[str], fold, schema:
 
             yield from fold(key, own())
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return run
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """fold(key, batches) for each key, with its rows in order, batch by batch."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_by_run(keys, fold), schema)
 
 
 def producer_batches(messages: DataFrame, most_bytes: int, linger_ms: int) -> DataFrame:

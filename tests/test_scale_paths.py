@@ -142,3 +142,30 @@ def test_redirects_and_retries(spark):
         assert tuple(r.r) == cases[r.t], r.t
     starts = spark.range(1).select(S.retry_starts()).first()[0]
     assert starts[:7] == [0, 100, 300, 700, 1500, 3100, 5100] and starts[-1] <= 120_000 < starts[-1] + 2000
+
+
+def test_rolling_over_many_ranges_is_the_sequential_rule(spark):
+    rng = random.Random(4)
+    rows = [("hot", o, rng.choice([0, 0, 1, 7, 50, 400])) for o in range(0, 9000, 3)] + [("even", o, 10) for o in range(700)] + [("one", 5, 9)] + [("null", o, None) for o in range(3)]
+    wanted = {}
+    for limit in (1, 30, 95, 100, 5000, 10**9):
+        base, held, of = 0, 0, None
+        for topic, o, n in rows:
+            if topic != of:
+                base, held, of = 0, 0, topic
+            if held >= limit:
+                base, held = o, 0
+            held += n or 0
+            wanted[limit, topic, o] = base
+    df = spark.createDataFrame(rows, "topic string, offset long, n_bytes int").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for limit in (1, 30, 95, 100, 5000, 10**9):
+            found = segments.roll(df, limit=limit).collect()
+            assert len(found) == len(rows)
+            assert all(wanted[limit, r.topic, r.offset] == r.segment_base for r in found), limit
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert segments.roll(df.limit(0)).count() == 0
