@@ -12,7 +12,7 @@ from millrace.schema import CACHED_PER_TOPIC, INDEX_EVERY, INDEX_KEPT, MAX_BATCH
 from millrace.storage import durable, small
 
 
-def get(messages: DataFrame, topic: str, offset: int) -> DataFrame:
+def get(messages: DataFrame, topic: str | Column, offset: int) -> DataFrame:
     """The message at an offset of a topic; no row if there is none."""
     return messages.where((F.col("topic") == topic) & (F.col("offset") == offset))
 
@@ -30,8 +30,8 @@ def seek_time(messages: DataFrame, at: Column, by: tuple[str, ...] = ("topic",))
 def read_since(messages: DataFrame, topic: str, at: Column, n: int) -> DataFrame:
     """The first n messages from the first one at or after an instant on, whatever the times of later ones."""
     mine = messages.where(F.col("topic") == topic)
-    first = seek_time(mine, at).where("offset >= 0").select(F.col("offset").alias("_first"))  # a row at most
-    return mine.join(F.broadcast(first), F.col("offset") >= F.col("_first")).drop("_first").orderBy("offset").limit(max(0, n))
+    first = seek_time(mine, at).where("offset >= 0").select("offset").scalar()  # known before the scan, which it reaches
+    return mine.where(F.col("offset") >= first).orderBy("offset").limit(max(0, n))
 
 
 def poll(messages: DataFrame, positions: dict[str, int], n: int) -> DataFrame:

@@ -108,7 +108,7 @@ _SINCE = 1_705_276_800_000  # 2024-01-15T00:00:00Z
 @query("log_get", """SELECT "offset", topic, key, payload, "timestamp" FROM messages WHERE topic = (SELECT min(topic) FROM messages WHERE "offset" = 500) AND "offset" = 500""")
 def log_get(spark, d):
     m = messages(spark, d)
-    topic = m.where("offset = 500").agg(F.min("topic")).first()[0]
+    topic = m.where("offset = 500").agg(F.min("topic")).scalar()
     return log.get(m, topic, 500).select("offset", "topic", "key", "payload", "timestamp")
 
 
@@ -254,7 +254,7 @@ def retention_expired(spark, d):
 @query("archive_union", """SELECT topic, "offset", payload, CASE WHEN "offset" >= (SELECT max("offset") // 2 FROM messages) THEN 'hot' ELSE 'archive' END AS tier FROM messages""")
 def archive_union(spark, d):
     m = messages(spark, d).select("topic", "offset", "payload")
-    middle = m.agg(F.expr("max(offset) div 2")).first()[0]
+    middle = m.agg(F.expr("max(offset) div 2")).scalar()
     hot = m.where(F.col("offset") >= middle).withColumn("tier", F.lit("hot"))
     archived = m.where(F.col("offset") < middle + 500).withColumn("tier", F.lit("archive"))
     return segments.with_archive(hot, archived)
@@ -707,8 +707,8 @@ n AS (SELECT max("timestamp") AS now FROM messages)
 SELECT cluster, 1 + count(*) FILTER (node_id % 9 = 0 OR contact_ms >= now - 21600000) AS alive, (count(*) + 1) // 2 + 1 AS needed, 1 + count(*) FILTER (node_id % 9 = 0 OR contact_ms >= now - 21600000) >= (count(*) + 1) // 2 + 1 AS has_quorum
 FROM replicas, n GROUP BY cluster""")
 def quorum_alive(spark, d):
-    now = messages(spark, d).agg(F.max("timestamp")).first()[0]
-    return replica.quorum_alive(_replicas(spark, d).withColumn("in_snapshot", F.col("node_id") % 9 == 0), F.lit(now), 21_600_000)
+    now = messages(spark, d).agg(F.max("timestamp")).scalar()
+    return replica.quorum_alive(_replicas(spark, d).withColumn("in_snapshot", F.col("node_id") % 9 == 0), now, 21_600_000)
 
 
 @query("rpc_cap", """,
@@ -999,11 +999,11 @@ SELECT node_id AS node, candidate, term > own_term AND NOT (node_id % 11 = 0 OR
 def votes(spark, d):
     n = _replicas(spark, d)
     k = F.col("node_id")
-    now = n.agg(F.max("contact_ms")).first()[0]
+    now = n.agg(F.max("contact_ms")).scalar()
     nodes = n.select(k.alias("node"), (k % 4).alias("current_term"), F.when(k % 7 != 0, "a").alias("voted_for"), F.col("match_index").alias("own_index"), (k % 4).alias("own_term"), (k % 11 == 0).alias("is_leader"), F.col("contact_ms").alias("heartbeat_ms"))
     last = F.when(k % 5 == 0, F.col("match_index") - 1).otherwise(F.col("match_index"))
     requests = n.select(k.alias("node"), (k % 4 + k % 3 - 1).alias("term"), F.when(k % 2 == 0, "a").otherwise("b").alias("candidate"), last.alias("last_index"), (k % 4).alias("last_term"))
-    return replica.votes(requests, nodes, F.lit(now), within_ms=3_600_000)
+    return replica.votes(requests, nodes, now, within_ms=3_600_000)
 
 
 _CUTS = """,
