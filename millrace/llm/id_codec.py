@@ -1,191 +1,229 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
-
-Every block starts from fresh models, so blocks are coded side by side: step k codes the
-k-th id of each. An id is coded as nibbles, highest first. The distribution of a nibble is that of
-order 0, adaptive counts under the nibbles before it, mixed with the ids that order 1 and
-order 2 predict from one and two ids before: each prediction adds weight to its
-nibble as long as it has been right in this id, as much as predictions of its order and confidence
-have lately deserved. A carry-less range coder with 48-bit state writes 16-bit words.
+"""Adaptive context-mixing range coder for token ids.
+
+Every block starts from fresh models and is coded alone. Its ids are cut into lanes of equal length, coded side by
+side: step k codes the k-th id of each, and all lanes learn from it before the next. An id is coded as what order 2
+(the two ids before it) or else order 1 predicts, or as neither; adaptive counts under the confidences of both weigh the
+three. Only ids of the third kind are coded as nibbles, highest first, each by order 0: adaptive counts under the nibbles
+before it, renewed whenever the steps have doubled. A range coder with 48-bit state and carries writes 16-bit words,
+a stream a lane, behind the streams' lengths. States are whole numbers below 2^53 in float64, which numpy divides exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-NIBBLES = 4  # ids below 65,536
-_HASHED = 251  # contexts of the last nibble
-_CONTEXTS = 1 + 16 + 256 + _HASHED
-_ADD, _MOST = 24, 2048  # what a nibble adds to its count; counts are halved beyond this sum
-_SLOTS = 1024  # of each order's table of predictions
-_RATIO = 14  # a prediction weighs at most so many times the counts
-_MASK, _TOP, _BOTTOM = (1 << 48) - 1, 1 << 32, 1 << 16
+#: A block has at most so many lanes, and lanes at least so many ids where the block has them.
+_LANES, _SHORTEST = 8192, 128
+_BITS = 12  # frequencies of a symbol's alternatives add up to 2^12
+_PAIRS = 1 << 18  # slots of order 2's predictions
+_SURE = 7  # highest confidence
+_LEVELS = (0, 1, 17, 273)  # the first context of each nibble
+_WHOLE, _LOW, _TOP, _WORD, _PART = 2.0**48, 2.0**32, 2.0**-32, 2.0**16, 2.0**-_BITS
 
 
-#: What each nibble adds to a row of cumulative counts.
-_STEPS = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.uint16) * np.uint16(_ADD)
-#: 64 times the weight of a prediction that was right so often (row) of so many times (column).
-_RATIOS = np.array([[min(64 * r // max(1, t - r + 1), 64 * _RATIO) for t in range(256)] for r in range(256)]).reshape(-1)
+def _shape(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of n ids."""
+    steps = -(-n // min(_LANES, max(1, n // _SHORTEST)))
+    return steps, -(-n // steps)
 
 
 class _Models:
-    """The models of `lanes` blocks. Slots of the prediction tables hold an id; -1 before the first.
-
-    Arrays of two rows hold order 1 and order 2.
-    """
+    """The models of a block. Predictions are ids times 8 plus a confidence, 0 before the first."""
 
     def __init__(self, lanes: int) -> None:
-        self.counts = np.tile(np.arange(17, dtype=np.uint16), (lanes * _CONTEXTS, 1))  # cumulative
-        self.flat = self.counts.reshape(-1)
-        self.base = np.arange(lanes) * _CONTEXTS
-        of_lane = np.arange(2 * lanes).reshape(2, lanes)
-        self.slots, self.cells = of_lane * _SLOTS, of_lane * 4
-        self.seen = np.full(2 * lanes * _SLOTS, -1, np.int32)
-        self.sure = np.zeros(2 * lanes * _SLOTS, np.int8)
-        self.right = np.ones(2 * lanes * 4, np.int64)
-        self.tried = np.full(2 * lanes * 4, 3, np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.mixed = np.zeros((2, lanes), np.int64)
-
-    def begin(self, n: int) -> None:
-        """Predictions for the next id of the first n lanes."""
-        one, two = self.last[0, :n], self.last[1, :n]
-        mixed = self.mixed[:, :n]
-        np.multiply(one, 2531, out=mixed[0])
-        np.multiply(one, 2654435761, out=mixed[1])
-        mixed[1] += two * 40503
-        self.slot = self.slots[:, :n] + ((mixed >> 9) & (_SLOTS - 1))
-        self.guess = self.seen.take(self.slot).astype(np.int64)
-        self.cell = self.cells[:, :n] + self.sure.take(self.slot)
-        self.was_right, self.was_tried = self.right.take(self.cell), self.tried.take(self.cell)
-        self.known = self.guess >= 0
-        self.alive = self.known
-        self.ratio = _RATIOS.take((self.was_right << 8) + self.was_tried)
-
-    def weigh(self, k: int, high: np.ndarray) -> np.ndarray:
-        """Makes the mixture for nibble k, whose id has the bits `high` above it, ready; its whole weight."""
-        base = self.base[: len(high)]
-        self.row = base if k == 0 else base + (1 + high) if k == 1 else base + (17 + high) if k == 2 else base + (273 + high % _HASHED)
-        self.at = self.row * 17
-        count = self.flat.take(self.at + 16).astype(np.int64)
-        self.nibble = (self.guess >> (12 - 4 * k)) & 15
-        self.extra = (count * self.ratio >> 6) * self.alive
-        self.full = count > _MOST - _ADD
-        return count + self.extra[0] + self.extra[1]
-
-    def below(self, nibble: np.ndarray) -> np.ndarray:
-        """The weight of all nibbles below each of `nibble`."""
-        extra = self.extra * (self.nibble < nibble)
-        return self.flat.take(self.at + nibble) + extra[0] + extra[1]
-
-    def learn(self, nibble: np.ndarray) -> None:
-        grown = self.counts.take(self.row, axis=0) + _STEPS.take(nibble, axis=0)
-        if (over := np.nonzero(self.full)[0]).size:
-            grown[over, 1:] = np.cumsum((np.diff(grown[over].astype(np.int64), axis=1) + 1) >> 1, axis=1)
-        self.counts[self.row] = grown
-        self.alive = self.alive & (self.nibble == nibble)
-
-    def end(self, ids: np.ndarray) -> None:
-        """All nibbles of ids are coded: predictions are judged and replaced."""
-        tried = self.was_tried + self.known
-        old = tried > 255
-        self.tried[self.cell] = tried >> old
-        self.right[self.cell] = (self.was_right + self.alive) >> old
-        self.sure[self.slot] = np.minimum(self.sure.take(self.slot) + 1, 3) * self.alive
-        self.seen[self.slot] = ids
-        n = len(ids)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
-
-
-def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Which lanes move a word out: those whose highest 16 bits are settled, and those that got too narrow."""
-    return np.nonzero((low ^ (low + width) < _TOP) | (width < _BOTTOM))[0]
-
-
-def _widened(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Low ends and widths of such lanes after the move; what is too narrow to go on ends at the next boundary."""
-    cut = np.where(low ^ (low + width) < _TOP, width, -low & (_BOTTOM - 1))
-    return (low << 16) & _MASK, cut << 16
+        self.one, self.two = np.zeros(1 << 16, np.int32), np.zeros(_PAIRS, np.int32)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.kinds = np.ones((2 * (_SURE + 1) ** 2, 3))
+        self.seen = np.zeros(1 << 16, np.int64)
+        self.held: list[np.ndarray] = []
+        self.due = 1
+        self._weigh()
+        self.renewed()
+
+    def _weigh(self) -> None:
+        ends = np.cumsum(self.kinds, axis=1)
+        self.ends = np.zeros((len(ends), 4))
+        self.ends[:, 1:] = np.floor(ends * ((2**_BITS - 3) / ends[:, 2:])) + np.arange(1, 4)
+        self.first, self.second = self.ends[:, 1].repeat(3), self.ends[:, 2].repeat(3)
+        self.kind_start, self.kind_size = self.ends[:, :3].ravel(), np.diff(self.ends, axis=1).ravel()
+
+    def renew_at(self, step: int) -> bool:
+        """Renews the counts of nibbles if this step is due for it."""
+        if step < self.due:
+            return False
+        self.renewed()
+        self.due = 2 * step
+        return True
+
+    def renewed(self) -> None:
+        """Frequencies of nibbles from the ids so far: starts and sizes, 16 a context."""
+        if self.held:
+            self.seen += np.bincount(np.concatenate(self.held), minlength=1 << 16)
+            self.held = []
+        counts = [self.seen.reshape(-1, 16)]
+        while len(counts[0]) > 1:
+            counts.insert(0, counts[0].sum(axis=1).reshape(-1, 16))
+        ends = np.cumsum(np.concatenate(counts), axis=1)
+        ends[ends[:, 15] == 0] = np.arange(1, 17)
+        whole = np.zeros((len(ends), 17))
+        whole[:, 1:] = ends * (2**_BITS - 16) // ends[:, 15:] + np.arange(1, 17)
+        self.sizes = np.diff(whole, axis=1).ravel()
+        self.starts = whole[:, :16].ravel()
+
+    def tables(self) -> np.ndarray:
+        """For decoding: the nibble of every frequency under the contexts of the first three nibbles."""
+        n = _LEVELS[3] * 16
+        return np.repeat(np.tile(np.arange(16, dtype=np.int8), _LEVELS[3]), self.sizes[:n].astype(np.int64))
+
+    def predict(self) -> None:
+        """Both predictions for the next id of every lane, and the place of its context in the table of kinds."""
+        self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 13) & (_PAIRS - 1)
+        self.by_one, self.by_two = self.one.take(self.last), self.two.take(self.slot)
+        self.guess_one, self.guess_two = self.by_one >> 3, self.by_two >> 3
+        self.sure_one, self.sure_two = self.by_one & _SURE, self.by_two & _SURE
+        kind = (self.sure_two << 4) + (self.sure_one << 1) + (self.guess_one == self.guess_two)
+        self.place = kind * np.int32(3)
+
+    @staticmethod
+    def _judged(entry: np.ndarray, sure: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        return np.where(right, entry + (sure < _SURE), np.where(sure > 1, entry - (sure >> 1), fresh))
+
+    def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """ids follow in every lane; at are their kinds' places. Of lanes that share a prediction the last one counts."""
+        fresh = (ids << 3) + 1
+        self.one[self.last] = self._judged(self.by_one, self.sure_one, self.guess_one == ids, fresh)
+        self.two[self.slot] = self._judged(self.by_two, self.sure_two, self.guess_two == ids, fresh)
+        self.last, self.before = ids.astype(np.int64), self.last
+        self.kinds += np.bincount(at, minlength=self.kinds.size).reshape(self.kinds.shape)
+        self._weigh()
+
+
+def _encode(ids: np.ndarray) -> np.ndarray:
+    steps, lanes = _shape(len(ids))
+    if steps > 8192:
+        raise ValueError("a block has 2^26 ids at most")  # words of a lane are counted in 16 bits
+    grid = np.zeros(steps * lanes, np.uint16)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    models = _Models(lanes)
+    every = np.arange(lanes, dtype=np.uint16)
+    places: list[np.ndarray] = []
+    moves: list[np.ndarray] = []  # words, which may hold a carry above 16 bits
+    low, width = np.zeros(lanes), np.full(lanes, _WHOLE)
+
+    def moved(low: np.ndarray, width: np.ndarray, lane: np.ndarray) -> None:
+        narrow = np.nonzero(width < _LOW)[0]
+        while narrow.size:
+            a = low.take(narrow)
+            word = np.floor(a * _TOP)
+            places.append(lane.take(narrow))
+            moves.append(word.astype(np.int32))
+            low[narrow] = (a - word * _LOW) * _WORD
+            width[narrow] = b = width.take(narrow) * _WORD
+            narrow = narrow[b < _LOW]
+
+    for step in range(steps):
+        now = grid[step].astype(np.int32)
+        models.predict()
+        missed = now != models.guess_two
+        neither = missed & (now != models.guess_one)
+        at = models.place + missed
+        at += neither
+        part = np.floor(width * _PART)
+        low += models.kind_start.take(at) * part
+        width = models.kind_size.take(at) * part
+        moved(low, width, every)
+        rest = np.nonzero(neither)[0]
+        if rest.size:
+            models.renew_at(step)
+            x = now.take(rest)
+            models.held.append(x)
+            a, b, lane = low.take(rest), width.take(rest), every.take(rest)
+            for k in range(4):
+                cell = (x >> (12 - 4 * k)) + 16 * _LEVELS[k]
+                part = np.floor(b * _PART)
+                a += models.starts.take(cell) * part
+                b = models.sizes.take(cell) * part
+                if k & 1:
+                    moved(a, b, lane)
+            low[rest], width[rest] = a, b
+        models.learn(now, at)
+    end = np.ceil(low / _WORD)  # whatever follows these two words lies within the last width
+    word = np.floor(end / _WORD)
+    lane = np.concatenate([*places, every, every])
+    words = np.concatenate([*moves, word, end - word * _WORD]).astype(np.int32)[np.argsort(lane, kind="stable")]
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
+    return np.concatenate([np.bincount(lane, minlength=lanes), words]).astype(np.uint16)
+
+
+def _decode(words: np.ndarray, n: int) -> np.ndarray:
+    steps, lanes = _shape(n)
+    used = words[:lanes].astype(np.int64)
+    data = np.concatenate([words[lanes:], np.zeros(4, np.uint16)])
+    place = np.cumsum(used) - used
+    code = (data[place] * _WORD + data[place + 1]) * _WORD + data[place + 2]
+    place += 3
+    width = np.full(lanes, _WHOLE)
+    models = _Models(lanes)
+    table = models.tables()
+    grid = np.zeros((steps, lanes), np.uint16)
+
+    def moved(code: np.ndarray, width: np.ndarray, place: np.ndarray) -> None:
+        narrow = np.nonzero(width < _LOW)[0]
+        while narrow.size:
+            at = place.take(narrow)
+            code[narrow] = code.take(narrow) * _WORD + data.take(at, mode="clip")
+            place[narrow] = at + 1
+            width[narrow] = b = width.take(narrow) * _WORD
+            narrow = narrow[b < _LOW]
+
+    for step in range(steps):
+        models.predict()
+        part = np.floor(width * _PART)
+        value = code / part
+        at = models.place
+        missed, neither = value >= models.first.take(at), value >= models.second.take(at)
+        at = at + missed
+        at += neither
+        code -= models.kind_start.take(at) * part
+        width = models.kind_size.take(at) * part
+        moved(code, width, place)
+        now = np.where(missed, models.guess_one, models.guess_two)
+        rest = np.nonzero(neither)[0]
+        if rest.size:
+            if models.renew_at(step):
+                table = models.tables()
+            a, b, c = code.take(rest), width.take(rest), place.take(rest)
+            x = np.zeros(len(rest), np.int64)
+            for k in range(4):
+                part = np.floor(b * _PART)
+                value = a / part
+                cell = (x + _LEVELS[k]) << 4
+                if k < 3:
+                    cell += table.take((cell << (_BITS - 4)) + value.astype(np.int64))
+                else:
+                    for half in (8, 4, 2, 1):  # the last nibble that begins at value or before
+                        cell += half * (models.starts.take(cell + half) <= value)
+                a -= models.starts.take(cell) * part
+                b = models.sizes.take(cell) * part
+                if k & 1:
+                    moved(a, b, c)
+                x = cell - 16 * _LEVELS[k]
+            code[rest], width[rest], place[rest] = a, b, c
+            now[rest] = x
+            models.held.append(x)
+        models.learn(now, at)
+        grid[step] = now
+    return grid.T.reshape(-1)[:n]
 
 
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """The words, uint16, of every block of ids; blocks come longest first."""
-    lengths = np.array([len(b) for b in blocks])
-    lanes, longest = len(blocks), int(lengths.max(initial=0))
-    if longest == 0:
-        return [np.zeros(0, np.uint16) for _ in blocks]
-    ids = np.zeros((longest, lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    models = _Models(lanes)
-    out = np.zeros((lanes, 4 * longest + 8), np.uint16)
-    used = np.zeros(lanes, np.int64)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    for step in range(longest):
-        n = int(np.searchsorted(-lengths, -step))  # lanes whose block goes on
-        now = ids[step, :n]
-        models.begin(n)
-        for k in range(NIBBLES):
-            high = now >> (16 - 4 * k)
-            nibble = (now >> (12 - 4 * k)) & 15
-            part = width[:n] // models.weigh(k, high)
-            start = models.below(nibble)
-            low[:n] += start * part
-            width[:n] = (models.below(nibble + 1) - start) * part
-            move = _settled(low[:n], width[:n])
-            while move.size:
-                a, b, at = low[move], width[move], used[move]
-                out[move, at] = a >> 32
-                used[move] = at + 1
-                a, b = _widened(a, b)
-                low[move], width[move] = a, b
-                move = move[_settled(a, b)]
-            models.learn(nibble)
-        models.end(now)
-    for shift in (32, 16, 0):
-        out[np.arange(lanes), used] = (low >> shift) & 0xFFFF
-        used += 1
-    return [out[k, : used[k]].copy() for k in range(lanes)]
+    """The words, uint16, of every block of ids below 65,536."""
+    return [_encode(b) if len(b) else np.zeros(0, np.uint16) for b in blocks]
 
 
 def decode(words: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of every block, from its words and the number of its ids; longest first."""
-    sizes = np.array(lengths)
-    lanes, longest = len(words), int(sizes.max(initial=0))
-    if longest == 0:
-        return [np.zeros(0, np.int64) for _ in words]
-    data = np.zeros((lanes, max(map(len, words)) + 4), np.int64)
-    for k, w in enumerate(words):
-        data[k, : len(w)] = w
-    models = _Models(lanes)
-    ids = np.zeros((longest, lanes), np.int64)
-    used = np.full(lanes, 3, np.int64)
-    code = (data[:, 0] << 32) | (data[:, 1] << 16) | data[:, 2]
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    for step in range(longest):
-        n = int(np.searchsorted(-sizes, -step))
-        models.begin(n)
-        now = np.zeros(n, np.int64)
-        for k in range(NIBBLES):
-            whole = models.weigh(k, now)
-            part = width[:n] // whole
-            value = np.minimum(((code[:n] - low[:n]) & _MASK) // part, whole - 1)
-            nibble = np.zeros(n, np.int64)
-            for half in (8, 4, 2, 1):  # the last nibble that has no more than value below it
-                nibble += half * (models.below(nibble + half) <= value)
-            start = models.below(nibble)
-            low[:n] += start * part
-            width[:n] = (models.below(nibble + 1) - start) * part
-            move = _settled(low[:n], width[:n])
-            while move.size:
-                at = used[move]
-                code[move] = ((code[move] << 16) & _MASK) | data[move, np.minimum(at, data.shape[1] - 1)]
-                used[move] = at + 1
-                a, b = _widened(low[move], width[move])
-                low[move], width[move] = a, b
-                move = move[_settled(a, b)]
-            models.learn(nibble)
-            now = now << 4 | nibble
-        models.end(now)
-        ids[step, :n] = now
-    return [ids[: sizes[k], k] for k in range(lanes)]
+    """The ids of every block, from its words and the number of its ids."""
+    return [_decode(w, n) if n else np.zeros(0, np.int64) for w, n in zip(words, lengths, strict=True)]

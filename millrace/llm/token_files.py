@@ -2,7 +2,7 @@
 
 A table of segments is written; each row is one binary segment that can be read alone:
 
-    "MRT2", documents n and blocks m (uint32 each),
+    "MRT3", documents n and blocks m (uint32 each),
     n document ids (int64), n null marks (uint8), n numbers of ids (uint32),
     for each block its number of ids, its number of words and the crc32 of its ids (uint32 each),
     the words of all blocks (uint16), see id_codec,
@@ -30,10 +30,11 @@ from millrace.llm import id_codec
 from millrace.llm.common import parts, shared_dir
 from millrace.llm.tokens import word_bpe
 
-MAGIC = b"MRT2"
-BLOCK = 1024
-#: Blocks that are coded side by side: their models take 28 KB each.
-LANES = 2048
+MAGIC = b"MRT3"
+#: Ids of a block: what is reset, checked and decoded alone. Its own lanes share what it learns.
+BLOCK = 1 << 21
+#: Blocks that are coded at a time.
+LANES = 1
 _SEGMENTS = "part long, segment long, n_tokens long, data binary"
 
 

@@ -210,6 +210,18 @@ def test_codec_round_trips():
     assert np.array_equal(alone[0], words[1])  # blocks don't depend on their neighbours
 
 
+def test_blocks_are_coded_in_few_steps_and_learn_from_all_their_lanes():
+    assert id_codec._shape(token_files.BLOCK) == (256, 8192)
+    r = np.random.default_rng(3)
+    for n in (1, 2, 127, 128, 129, 383, 5000, 70_001):
+        for ids in (r.integers(0, 1 << 16, n), r.zipf(1.3, n) % 50_000, np.where(r.random(n) < 0.002, r.integers(0, 1 << 16, n), 7)):
+            assert np.array_equal(id_codec.decode(id_codec.encode([ids]), [n])[0], ids)
+    ids = np.tile(r.permutation(50_000)[:5000], 40).astype("<u4")  # what comes again after 5000 ids
+    data = token_files.to_segment([1], [ids.tobytes()])
+    assert len(data) < len(ids) / 4
+    assert np.array_equal(token_files.from_segment(data)[0][1], ids)
+
+
 def test_segments_tell_damage():
     data = token_files.to_segment([1, None, 3], [np.arange(5, dtype="<u4").tobytes(), b"", np.full(300, 7, "<u4").tobytes()], block=64)
     assert [(d, len(x)) for d, x in token_files.from_segment(data)] == [(1, 5), (None, 0), (3, 300)]
