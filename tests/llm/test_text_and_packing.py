@@ -270,6 +270,33 @@ def test_sampled_pieces_are_lossless_and_follow_the_key():
     assert len(drawn) > 10
 
 
+def test_new_lattices_are_settled_together():
+    """Running shares at every place of short and long units against a plain forward filter, scaled by logarithms."""
+    import math
+
+    s = piece_sampling.PieceSampler(PIECES)
+    units = [" there", "internationalization", "日本", "q", "x" * 300, " ab" * 90]
+    ends = [s._add(u) for u in units]
+    assert len(s.edge_share) == 0 and s.nodes == sum(len(u) + 1 for u in units)
+    s._settle()
+    assert len(s.edge_start) == s.nodes and not s.new_weight
+    start = [*s.edge_start, len(s.edge_share)]
+    for unit, end in zip(units, ends, strict=True):
+        text, base = unit.replace(" ", "▁"), end - len(unit)
+        logs = [0.0]
+        for j in range(1, len(text) + 1):
+            into = [(logs[i] + math.log(s.ids[text[i:j]][1]), i, s.ids[text[i:j]][0]) for i in range(max(0, j - s.longest), j) if text[i:j] in s.ids]
+            if text[j - 1] not in s.ids:
+                raw = unit[j - 1].encode()
+                into.append((logs[j - 1] + len(raw) * math.log(s.byte_weight), j - 1, None))
+            most = max(w for w, _, _ in into)
+            logs.append(most + math.log(sum(math.exp(w - most) for w, _, _ in into)))
+            a, b = start[base + j], start[base + j + 1]
+            assert [(i, p) for _, i, p in into] == [(x - base, p if p >= 0 else None) for x, p in zip(s.edge_from[a:b], s.edge_piece[a:b], strict=True)]
+            shares = np.cumsum([math.exp(w - logs[j]) for w, _, _ in into])
+            assert np.allclose(shares[:-1], s.edge_share[a : b - 1], rtol=1e-6) and s.edge_share[b - 1] == 2.0
+
+
 def test_sampling_follows_the_lattice_s_weights():
     """Shares of drawn segmentations of a short word against all of them, listed."""
     from collections import Counter
