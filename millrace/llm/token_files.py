@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segme
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [number], "n_tokens": [size], "data": [to_segment(doc_ids, ids)]})
 
-        for rows in parts(batches):
+        for rows in parts(batches, 2000):
             for doc_id, x in zip(rows.column(0).to_pylist(), bpe.encode(rows.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(x + end)

@@ -200,6 +200,32 @@ def test_packing_is_gapless_whole_and_tight(spark):
     assert packing.pack_documents(docs.limit(0), BPE).count() == 0
 
 
+def test_words_are_tokenised_once_whatever_marks_stand_by_them():
+    bpe, calls = WordBpe(BPE), []
+
+    class Model:
+        def tokenize(self, x, f=bpe.model.tokenize):
+            calls.append(x)
+            return f(x)
+
+    bpe.model = Model()
+    texts = ["Go wordy, wordy. wordy wordy;\nWordy wordy!\nWordy, (wordy été, été.\nÉté", "wordy; wordy"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == reference_ids(texts)
+    assert sum("ordy" in x for x in calls) == 2  # after a space, and after a line end
+
+
+def test_ids_of_words_marks_and_line_ends_are_the_library_s(monkeypatch):
+    r = random.Random(6)
+    marks = [*PARTS, "word", "Été", "ſ", "Ŀa", "'re", "'", "...", ",", "(", ".\n", "\n\n", "\x1c", "\xa0", "٣", "ª"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += [" ".join(r.choice(["word", "Été", "x"]) + r.choice(["", ",", ").", "\nWord", ".\nÉté;", "!\n", "\n\nx", "'s"]) for _ in range(200)) for _ in range(20)]
+    expected = reference_ids(texts)
+    for most in (4_000_000, 500, 7):  # long texts are cut between stretches
+        monkeypatch.setattr("millrace.llm.tokens._AT_ONCE", most)
+        bpe = WordBpe(BPE, limit_bytes=20_000)
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)] == expected
+
+
 def test_codec_round_trips():
     r = np.random.default_rng(5)
     blocks = [r.integers(0, 1 << 16, 700), r.integers(0, 3, 500), np.tile(np.arange(9), 40), np.zeros(99, int), np.array([65535]), np.array([], int)]
