@@ -3,8 +3,8 @@
 Every block starts from fresh models and is coded alone. Its ids are cut into lanes of equal length, coded side by
 side: step k codes the k-th id of each, and all lanes learn from it before the next. An id is coded as what order 2
 (the two ids before it) or else order 1 predicts, or as neither; adaptive counts under the confidences of both weigh the
-three. Only ids of the third kind are coded as nibbles, highest first, each by order 0: adaptive counts under the nibbles
-before it, renewed whenever the steps have doubled. A range coder with 48-bit state and carries writes 16-bit words,
+three, renewed every fourth step. Only ids of the third kind are coded themselves, by order 0: adaptive counts of such ids, renewed whenever the steps
+have doubled. A range coder with 48-bit state and carries writes 16-bit words,
 a stream a lane, behind the streams' lengths. States are whole numbers below 2^53 in float64, which numpy divides exactly.
 """
 
@@ -15,10 +15,10 @@ import numpy as np
 #: A block has at most so many lanes, and lanes at least so many ids where the block has them.
 _LANES, _SHORTEST = 8192, 128
 _BITS = 12  # frequencies of a symbol's alternatives add up to 2^12
-_PAIRS = 1 << 18  # slots of order 2's predictions
+_PAIRS = 1 << 18  # slots of order 2's predictions, the highest bits of a 32-bit hash
 _SURE = 7  # highest confidence
-_LEVELS = (0, 1, 17, 273)  # the first context of each nibble
-_WHOLE, _LOW, _TOP, _WORD, _PART = 2.0**48, 2.0**32, 2.0**-32, 2.0**16, 2.0**-_BITS
+_ID_BITS = 20  # frequencies of ids add up to 2^20
+_WHOLE, _LOW, _TOP, _WORD, _PART, _ID_PART = 2.0**48, 2.0**32, 2.0**-32, 2.0**16, 2.0**-_BITS, 2.0**-_ID_BITS
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -27,6 +27,17 @@ def _shape(n: int) -> tuple[int, int]:
     return steps, -(-n // steps)
 
 
+def _judged(sure: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a prediction's confidence gains, and whether the id that came takes its place."""
+    return np.where(right, sure < _SURE, -(sure >> 1)).astype(np.int32), ~right & (sure <= 1)
+
+
+#: Of both predictions, by the place of a kind: confidence of order 2, of order 1, whether they agree, and which came.
+_two, _one, _same, _came = np.indices((_SURE + 1, _SURE + 1, 2, 3)).reshape(4, -1)
+_GAIN_TWO, _FRESH_TWO = _judged(_two, _came == 0)
+_GAIN_ONE, _FRESH_ONE = _judged(_one, (_came == 1) | (_came == 0) & (_same == 1))
+
+
 class _Models:
     """The models of a block. Predictions are ids times 8 plus a confidence, 0 before the first."""
 
@@ -36,7 +47,8 @@ class _Models:
         self.kinds = np.ones((2 * (_SURE + 1) ** 2, 3))
         self.seen = np.zeros(1 << 16, np.int64)
         self.held: list[np.ndarray] = []
-        self.due = 1
+        self.came: list[np.ndarray] = []
+        self.steps, self.due = 0, 1
         self._weigh()
         self.renewed()
 
@@ -48,7 +60,7 @@ class _Models:
         self.kind_start, self.kind_size = self.ends[:, :3].ravel(), np.diff(self.ends, axis=1).ravel()
 
     def renew_at(self, step: int) -> bool:
-        """Renews the counts of nibbles if this step is due for it."""
+        """Renews the counts of ids if this step is due for it."""
         if step < self.due:
             return False
         self.renewed()
@@ -56,46 +68,39 @@ class _Models:
         return True
 
     def renewed(self) -> None:
-        """Frequencies of nibbles from the ids so far: starts and sizes, 16 a context."""
+        """Frequencies of ids from those so far that nothing predicted: starts and sizes. Every id has one."""
         if self.held:
             self.seen += np.bincount(np.concatenate(self.held), minlength=1 << 16)
             self.held = []
-        counts = [self.seen.reshape(-1, 16)]
-        while len(counts[0]) > 1:
-            counts.insert(0, counts[0].sum(axis=1).reshape(-1, 16))
-        ends = np.cumsum(np.concatenate(counts), axis=1)
-        ends[ends[:, 15] == 0] = np.arange(1, 17)
-        whole = np.zeros((len(ends), 17))
-        whole[:, 1:] = ends * (2**_BITS - 16) // ends[:, 15:] + np.arange(1, 17)
-        self.sizes = np.diff(whole, axis=1).ravel()
-        self.starts = whole[:, :16].ravel()
-
-    def tables(self) -> np.ndarray:
-        """For decoding: the nibble of every frequency under the contexts of the first three nibbles."""
-        n = _LEVELS[3] * 16
-        return np.repeat(np.tile(np.arange(16, dtype=np.int8), _LEVELS[3]), self.sizes[:n].astype(np.int64))
+        ends = np.cumsum(self.seen) if self.seen.any() else np.arange(1, (1 << 16) + 1)
+        whole = np.zeros((1 << 16) + 1, np.int64)
+        whole[1:] = ends * (2**_ID_BITS - 2**16) // ends[-1] + np.arange(1, (1 << 16) + 1)
+        self.starts, self.sizes = whole[:-1].astype(np.float32), np.diff(whole).astype(np.float32)
+
+    def table(self) -> np.ndarray:
+        """For decoding: the id of every frequency."""
+        return np.repeat(np.arange(1 << 16, dtype=np.uint16), self.sizes.astype(np.int64))
 
     def predict(self) -> None:
         """Both predictions for the next id of every lane, and the place of its context in the table of kinds."""
-        self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 13) & (_PAIRS - 1)
+        self.slot = ((self.last.astype(np.uint32) * np.uint32(0x9E3779B1) ^ self.before.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
         self.by_one, self.by_two = self.one.take(self.last), self.two.take(self.slot)
         self.guess_one, self.guess_two = self.by_one >> 3, self.by_two >> 3
-        self.sure_one, self.sure_two = self.by_one & _SURE, self.by_two & _SURE
-        kind = (self.sure_two << 4) + (self.sure_one << 1) + (self.guess_one == self.guess_two)
-        self.place = kind * np.int32(3)
-
-    @staticmethod
-    def _judged(entry: np.ndarray, sure: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        return np.where(right, entry + (sure < _SURE), np.where(sure > 1, entry - (sure >> 1), fresh))
+        kind = ((self.by_two & _SURE) << 4) + ((self.by_one & _SURE) << 1) + (self.guess_one == self.guess_two)
+        self.place = (kind * np.int32(3)).astype(np.int64)
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         """ids follow in every lane; at are their kinds' places. Of lanes that share a prediction the last one counts."""
         fresh = (ids << 3) + 1
-        self.one[self.last] = self._judged(self.by_one, self.sure_one, self.guess_one == ids, fresh)
-        self.two[self.slot] = self._judged(self.by_two, self.sure_two, self.guess_two == ids, fresh)
+        self.one[self.last] = np.where(_FRESH_ONE.take(at), fresh, self.by_one + _GAIN_ONE.take(at))
+        self.two[self.slot] = np.where(_FRESH_TWO.take(at), fresh, self.by_two + _GAIN_TWO.take(at))
         self.last, self.before = ids.astype(np.int64), self.last
-        self.kinds += np.bincount(at, minlength=self.kinds.size).reshape(self.kinds.shape)
-        self._weigh()
+        self.came.append(at)
+        self.steps += 1
+        if self.steps < 16 or self.steps % 4 == 0:
+            self.kinds += np.bincount(np.concatenate(self.came), minlength=self.kinds.size).reshape(self.kinds.shape)
+            self.came = []
+            self._weigh()
 
 
 def _encode(ids: np.ndarray) -> np.ndarray:
@@ -139,13 +144,10 @@ def _encode(ids: np.ndarray) -> np.ndarray:
             x = now.take(rest)
             models.held.append(x)
             a, b, lane = low.take(rest), width.take(rest), every.take(rest)
-            for k in range(4):
-                cell = (x >> (12 - 4 * k)) + 16 * _LEVELS[k]
-                part = np.floor(b * _PART)
-                a += models.starts.take(cell) * part
-                b = models.sizes.take(cell) * part
-                if k & 1:
-                    moved(a, b, lane)
+            part = np.floor(b * _ID_PART)
+            a += models.starts.take(x) * part
+            b = models.sizes.take(x) * part
+            moved(a, b, lane)
             low[rest], width[rest] = a, b
         models.learn(now, at)
     end = np.ceil(low / _WORD)  # whatever follows these two words lies within the last width
@@ -167,7 +169,7 @@ def _decode(words: np.ndarray, n: int) -> np.ndarray:
     place += 3
     width = np.full(lanes, _WHOLE)
     models = _Models(lanes)
-    table = models.tables()
+    table = models.table()
     grid = np.zeros((steps, lanes), np.uint16)
 
     def moved(code: np.ndarray, width: np.ndarray, place: np.ndarray) -> None:
@@ -194,23 +196,13 @@ def _decode(words: np.ndarray, n: int) -> np.ndarray:
         rest = np.nonzero(neither)[0]
         if rest.size:
             if models.renew_at(step):
-                table = models.tables()
+                table = models.table()
             a, b, c = code.take(rest), width.take(rest), place.take(rest)
-            x = np.zeros(len(rest), np.int64)
-            for k in range(4):
-                part = np.floor(b * _PART)
-                value = a / part
-                cell = (x + _LEVELS[k]) << 4
-                if k < 3:
-                    cell += table.take((cell << (_BITS - 4)) + value.astype(np.int64))
-                else:
-                    for half in (8, 4, 2, 1):  # the last nibble that begins at value or before
-                        cell += half * (models.starts.take(cell + half) <= value)
-                a -= models.starts.take(cell) * part
-                b = models.sizes.take(cell) * part
-                if k & 1:
-                    moved(a, b, c)
-                x = cell - 16 * _LEVELS[k]
+            part = np.floor(b * _ID_PART)
+            x = table.take((a / part).astype(np.int64), mode="clip")
+            a -= models.starts.take(x) * part
+            b = models.sizes.take(x) * part
+            moved(a, b, c)
             code[rest], width[rest], place[rest] = a, b, c
             now[rest] = x
             models.held.append(x)

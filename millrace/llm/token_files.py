@@ -2,7 +2,7 @@
 
 A table of segments is written; each row is one binary segment that can be read alone:
 
-    "MRT3", documents n and blocks m (uint32 each),
+    "MRT4", documents n and blocks m (uint32 each),
     n document ids (int64), n null marks (uint8), n numbers of ids (uint32),
     for each block its number of ids, its number of words and the crc32 of its ids (uint32 each),
     the words of all blocks (uint16), see id_codec,
@@ -30,11 +30,13 @@ from millrace.llm import id_codec
 from millrace.llm.common import parts, shared_dir
 from millrace.llm.tokens import word_bpe
 
-MAGIC = b"MRT3"
+MAGIC = b"MRT4"
 #: Ids of a block: what is reset, checked and decoded alone. Its own lanes share what it learns.
 BLOCK = 1 << 21
 #: Blocks that are coded at a time.
 LANES = 1
+#: Documents that are tokenised at a time, and the room for words that a worker keeps.
+_ROWS, _KEPT_BYTES = 2500, 192_000_000
 _SEGMENTS = "part long, segment long, n_tokens long, data binary"
 
 
@@ -101,7 +103,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segme
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = word_bpe(vocabulary), TaskContext.get().partitionId()
+        bpe, part = word_bpe(vocabulary, _KEPT_BYTES), TaskContext.get().partitionId()
         number, size = 0, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
@@ -109,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, segme
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [number], "n_tokens": [size], "data": [to_segment(doc_ids, ids)]})
 
-        for rows in parts(batches, 2000):
+        for rows in parts(batches, _ROWS):
             for doc_id, x in zip(rows.column(0).to_pylist(), bpe.encode(rows.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(x + end)

@@ -31,7 +31,7 @@ _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Stretches longer than this are not kept.
 _KEPT_CHARS = 64
 #: Characters of texts that are split at a time.
-_AT_ONCE = 4_000_000
+_AT_ONCE = 8_000_000
 #: Texts of one call of the library, whose results are large beside their ids.
 _CALL = 250
 #: Letters, then marks, and maybe both again after a line end: what any Unicode version takes for words and runs of marks, the
@@ -242,6 +242,6 @@ class WordBpe:
 
 
 @functools.cache
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, limit_bytes: int = 64_000_000) -> WordBpe:
     """One a worker process and vocabulary: what tasks keep from each other is bounded, see WordBpe."""
-    return WordBpe(path)
+    return WordBpe(path, limit_bytes)

@@ -248,6 +248,20 @@ def test_blocks_are_coded_in_few_steps_and_learn_from_all_their_lanes():
     assert np.array_equal(token_files.from_segment(data)[0][1], ids)
 
 
+def test_ids_that_nothing_predicts_are_one_symbol():
+    models = id_codec._Models(1)
+    for held in ([], [np.array([7] * 900 + [65535])]):
+        models.held = held
+        models.renewed()
+        assert len(models.sizes) == 1 << 16 and models.sizes.min() >= 1 and models.sizes.sum() <= 1 << 20
+        assert np.array_equal(models.starts[1:], np.cumsum(models.sizes, dtype=np.float64)[:-1])
+    assert models.sizes[7] > 900_000
+    r = np.random.default_rng(8)
+    ids = np.where(r.random(300_000) < 0.5, r.integers(0, 1 << 16, 300_000), r.zipf(1.2, 300_000) % 50_000)
+    words = id_codec.encode([ids])
+    assert np.array_equal(id_codec.decode(words, [len(ids)])[0], ids)
+
+
 def test_segments_tell_damage():
     data = token_files.to_segment([1, None, 3], [np.arange(5, dtype="<u4").tobytes(), b"", np.full(300, 7, "<u4").tobytes()], block=64)
     assert [(d, len(x)) for d, x in token_files.from_segment(data)] == [(1, 5), (None, 0), (3, 300)]
