@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import heapq
+from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,53 +154,75 @@ class GroupFold:
 
     Kept on purpose: a commit inside a lease drops the lease's tail; expiry counts an attempt on the
     lease's first offset only; a NACK rewinds the whole lease; a late commit changes nothing.
+
+    Ranges beyond a gap wait as a heap, and offsets with attempts are kept in order too: a command costs the same
+    however many of either there are.
     """
 
-    def __init__(self, offsets: list[int], lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES, committed: int = -1) -> None:
+    def __init__(self, offsets: Sequence[int], lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES, committed: int = -1) -> None:
         self.offsets, self.lease_ms, self.most = offsets, lease_ms, most
         self.stored = committed
         self.committed = self.dispatch = max(0, committed)
         self.begun = False  # an acquire, even an empty one, starts the coordinator from the stored offset
         self.leases: dict[str, tuple[int, int, int]] = {}  # consumer: from, to, expires at
-        self.ranges: list[tuple[int, int]] = []
-        self.attempts: dict[int, int] = {}
+        self.ranges = []
+        self.attempts = {}
 
     @property
     def active(self) -> bool:
         return bool(self.leases)
 
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        """Committed ranges that the committed offset hasn't reached: a heap."""
+        return self._ranges
+
+    @ranges.setter
+    def ranges(self, ranges: list[tuple[int, int]]) -> None:
+        self._ranges = list(ranges)
+        heapq.heapify(self._ranges)
+
+    @property
+    def attempts(self) -> dict[int, int]:
+        return self._attempts
+
+    @attempts.setter
+    def attempts(self, attempts: dict[int, int]) -> None:
+        self._attempts = dict(attempts)
+        self._tried = sorted(self._attempts)
+
     def state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "offsets"}
+        return {k.removeprefix("_"): v for k, v in self.__dict__.items() if k not in ("offsets", "_tried")}
 
     def restore(self, state: dict) -> GroupFold:
-        self.__dict__.update(state)
+        for k, v in state.items():
+            setattr(self, k, v)
         return self
 
     def _advance(self) -> None:
         at = self.committed
-        left = []
-        for low, high in sorted(self.ranges):
-            if not left and low <= at:
-                at = max(at, high)
-            else:
-                left.append((low, high))
+        while self._ranges and self._ranges[0][0] <= at:
+            at = max(at, heapq.heappop(self._ranges)[1])
         if at > self.committed:
             self.committed = self.stored = at
-        self.ranges = left
 
     def _forget(self, low: int, high: int) -> None:
-        for o in [o for o in self.attempts if low <= o < high]:
-            del self.attempts[o]
+        i, j = bisect.bisect_left(self._tried, low), bisect.bisect_left(self._tried, high)
+        for o in self._tried[i:j]:
+            del self._attempts[o]
+        del self._tried[i:j]
 
     def _dead(self, offset: int) -> None:
-        self.ranges.append((offset, offset + 1))
+        heapq.heappush(self._ranges, (offset, offset + 1))
         self._advance()
         self.dispatch = max(self.dispatch, offset + 1)
-        self.attempts.pop(offset, None)
+        self._forget(offset, offset + 1)
 
     def _failed(self, offset: int) -> bool:
-        self.attempts[offset] = self.attempts.get(offset, 0) + 1
-        return self.attempts[offset] >= self.most
+        if offset not in self._attempts:
+            bisect.insort(self._tried, offset)
+        self._attempts[offset] = self._attempts.get(offset, 0) + 1
+        return self._attempts[offset] >= self.most
 
     def apply(self, at_ms: int, consumer: str | None, op: str, n: int | None, offset: int | None) -> dict:
         """What a command did: delivered_from, delivered_to (exclusive), delivered_n, routed_to_dlq (offsets)."""
@@ -219,7 +244,7 @@ class GroupFold:
                 self.stored = offset
             elif held := self.leases.pop(consumer, None):
                 if offset > held[0]:
-                    self.ranges.append((held[0], offset))
+                    heapq.heappush(self._ranges, (held[0], offset))
                     self._forget(held[0], offset)
                     self._advance()
         elif op == "nack":
@@ -247,58 +272,74 @@ class GroupFold:
 
 
 REPLAY = "seq long, group string, topic string, op string, delivered_from long, delivered_to long, delivered_n long, committed long, dispatch long, routed_to_dlq array<long>"
+DID = ["delivered_from", "delivered_to", "delivered_n", "committed", "dispatch", "routed_to_dlq"]
 
 
-def reachable_offsets(commands: DataFrame, messages: DataFrame, bucket: int = 4096) -> DataFrame:
-    """group, topic, offsets: the offsets of messages that the commands of a group can ever deliver, ascending.
+def reachable_offsets(commands: DataFrame, messages: DataFrame, width: int = 1024) -> DataFrame:
+    """group, topic, chunk, offsets: the offsets of messages that the commands of a group can ever deliver, ascending.
 
-    A group moves on from 0, from an offset it committed before it first acquired, or from
-    a rejected one; and no further than all its acquires take together. What it may reach is a
-    few ranges of message numbers, found without gathering a topic's offsets.
+    A chunk has a topic's messages of `width` offsets. A group moves on from 0, from an offset it committed before it
+    first acquired, or from a rejected one; and no further than all its acquires take together. These spans are found
+    among the chunks' counts. They overlap, so each goes on only to where the next one begins: a chunk comes once a
+    group, however many spans it lies in. A few offsets more than can be reached do no harm.
     """
     keys = ["group", "topic"]
-    begun = F.min(F.when(F.col("op") == "acquire", F.col("seq"))).over(Window.partitionBy(*keys))
-    marked = commands.withColumn("_begun", begun)
-    takes = commands.groupBy(*keys).agg(F.sum(F.when(F.col("op") == "acquire", F.greatest(F.lit(0), F.col("n"))).otherwise(0)).alias("_takes"))
-    jumps = marked.where((F.col("op") == "nack") | ((F.col("op") == "commit") & (F.col("_begun").isNull() | (F.col("seq") < F.col("_begun")))))
-    starts = jumps.select(*keys, "offset").unionByName(commands.select(*keys, F.lit(0).cast("long").alias("offset"))).where("offset is not null").distinct()
-
-    numbered = durable(number_within(messages.select("topic", "offset").distinct(), ["topic"], ["offset"]))
-    floors = floor_segment(starts.select("topic", "offset").distinct(), numbered.select("topic", F.col("offset").alias("base")))
-    floors = floors.join(numbered.select("topic", F.col("offset").alias("base"), "nth"), ["topic", "base"], "left").select("topic", "offset", F.coalesce("nth", F.lit(0)).alias("low"))
-    spans = starts.join(floors, ["topic", "offset"]).join(takes, keys).select(*keys, "low", (F.col("low") + F.col("_takes") + 1).alias("high"))
-    spread = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
-    # Of a bucket, the spans of a group are merged to the places that they cover together; a few more do no harm.
-    covered = spread.groupBy(*keys, "_bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    found = numbered.withColumn("_bucket", F.floor(F.col("nth") / bucket)).join(covered, ["topic", "_bucket"]).where("nth between low and high")
-    return found.groupBy(*keys).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    chunk = F.floor(F.col("offset") / width)
+    chunks = durable(messages.where("offset is not null").groupBy("topic", chunk.alias("chunk")).agg(F.array_sort(F.collect_set("offset")).alias("offsets")))
+    order = Window.partitionBy("topic").orderBy("chunk")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = durable(chunks.select("topic", "chunk", F.size("offsets").alias("n")).select("topic", "chunk", "n", F.row_number().over(order).alias("nth"), before.alias("before")))
+
+    acquires = F.col("op") == "acquire"
+    takes = commands.groupBy(*keys).agg(F.sum(F.when(acquires, F.greatest(F.lit(0), F.col("n"))).otherwise(0)).alias("_takes"), F.min(F.when(acquires, F.col("seq"))).alias("_begun"))
+    takes = durable(takes)
+    jumps = commands.where(F.col("op").isin("commit", "nack") & F.col("offset").isNotNull()).groupBy(*keys, "op", chunk.alias("chunk")).agg(F.min("seq").alias("seq"))
+    jumps = jumps.join(takes, keys).where((F.col("op") == "nack") | F.col("_begun").isNull() | (F.col("seq") < F.col("_begun")))
+    starts = durable(jumps.select(*keys, "chunk").unionByName(takes.select(*keys, F.lit(0).cast("long").alias("chunk"))).distinct())
+
+    floors = floor_segment(starts.select("topic", F.col("chunk").alias("offset")).distinct(), counts.select("topic", F.col("chunk").alias("base")))
+    floors = floors.join(counts.withColumnRenamed("chunk", "base"), ["topic", "base"], "left")
+    floors = floors.select("topic", F.col("offset").alias("chunk"), F.coalesce("nth", F.lit(1)).alias("low"), F.coalesce(F.col("before") + F.col("n"), F.lit(0)).alias("after"))
+    spans = durable(starts.join(floors, ["topic", "chunk"]).join(takes, keys).select(*keys, "low", (F.col("after") + F.col("_takes")).alias("end")))
+    ends = floor_segment(spans.select("topic", F.col("end").alias("offset")).distinct(), counts.select("topic", F.col("before").alias("base")))
+    ends = ends.join(counts.select("topic", F.col("before").alias("base"), F.col("nth").alias("high")), ["topic", "base"]).select("topic", F.col("offset").alias("end"), "high")
+    spans = spans.join(ends, ["topic", "end"]).groupBy(*keys, "low").agg(F.max("high").alias("high"))
+    following = F.lead("low").over(Window.partitionBy(*keys).orderBy("low"))
+    covered = spans.withColumn("high", F.least("high", following - 1)).select(*keys, F.explode(F.sequence("low", "high")).alias("nth"))
+    return covered.join(counts.select("topic", "nth", "chunk"), ["topic", "nth"]).join(chunks, ["topic", "chunk"]).select(*keys, "chunk", "offsets")
+
+
+def with_reachable(commands: DataFrame, messages: DataFrame) -> DataFrame:
+    """commands with offsets, which is null, and further rows without a command, whose offsets are those of reachable_offsets()."""
+    columns = ["seq", "at_ms", "group", "topic", "consumer", "op", "n", "offset"]
+    reached = reachable_offsets(commands, messages).select("group", "topic", F.col("chunk").alias("seq"), F.lit(0).cast("long").alias("at_ms"), "offsets")
+    return commands.select(*columns).unionByName(reached, allowMissingColumns=True).select(*columns, "offsets")
+
+
+def apply_all(state: GroupFold, rows: pd.DataFrame) -> pd.DataFrame:
+    """What commands (seq, at_ms, group, topic, consumer, op, n, offset), in order, did, as in REPLAY."""
+    whole = lambda c: [None if absent else int(x) for x, absent in zip(rows[c].tolist(), rows[c].isna(), strict=True)]
+    did = [state.apply(*r) for r in zip(whole("at_ms"), rows["consumer"], rows["op"], whole("n"), whole("offset"), strict=True)]
+    out = rows[["seq", "group", "topic", "op"]].assign(**{c: [d[c] for d in did] for c in DID})
+    return out.astype({"delivered_from": "Int64", "delivered_to": "Int64"})
 
 
 def replay(commands: DataFrame, messages: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
     """One row per command (schema.COMMAND), in order of seq within group and topic, with what it did.
 
     A group and topic is one sequential state machine, folded in one task; groups run in
-    parallel. Commands stream through it; the offsets that they can reach, which are as many as
-    the commands can deliver, come with the first row of each.
+    parallel. The offsets that its commands can reach come before them, chunk by chunk, and are all it
+    holds, 8 bytes each; commands stream through it.
     """
-    first = F.row_number().over(Window.partitionBy("group", "topic").orderBy("seq")) == 1
-    reached = reachable_offsets(commands, messages).withColumnRenamed("offsets", "_offsets")
-    rows = commands.withColumn("_first", first).join(reached, ["group", "topic"], "left")
-    rows = rows.withColumn("_offsets", F.when(F.col("_first"), F.coalesce("_offsets", F.array().cast("array<long>"))))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+        state = GroupFold(array("q"), lease_ms, most)
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if state is None:
-                    state = GroupFold([int(x) for x in r[-1]], lease_ms, most)
-                whole = lambda x: None if pd.isna(x) else int(x)
-                out.append({"seq": r.seq, "group": r.group, "topic": r.topic, "op": r.op} | state.apply(int(r.at_ms), r.consumer, r.op, whole(r.n), whole(r.offset)))
-            found = pd.DataFrame(out)
-            for c in ("delivered_from", "delivered_to"):
-                found[c] = found[c].astype("Int64")
-            yield found
-
-    columns = ["seq", "at_ms", "group", "topic", "consumer", "op", "n", "offset", "_offsets"]
-    return _in_order(rows.select(*columns), ["group", "topic"], ["seq"], fold, REPLAY)
+            told = batch["offsets"].notna()
+            for offsets in batch.loc[told, "offsets"]:
+                state.offsets.frombytes(np.asarray(offsets, "int64").tobytes())
+            if not told.all():
+                yield apply_all(state, batch[~told])
+
+    rows = with_reachable(commands, messages).withColumn("_command", F.col("offsets").isNull())
+    return _in_order(rows, ["group", "topic"], ["_command", "seq"], fold, REPLAY)

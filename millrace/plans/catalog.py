@@ -920,11 +920,10 @@ def stream_append(spark, d):
 @query("stream_group_replay")
 def stream_group_replay(spark, d):
     """Commands arrive from a table of them; the result equals group_replay."""
-    firsts = commands(spark, d).groupBy("group", "topic").agg(F.min("seq").alias("seq"))
-    offsets = groups.reachable_offsets(commands(spark, d), messages(spark, d)).withColumnRenamed("offsets", "topic_offsets").join(firsts, ["group", "topic"])
+    rows = groups.with_reachable(commands(spark, d), messages(spark, d))
     folder, found = _fresh(spark, "commands"), _fresh(spark, "replayed")
-    commands(spark, d).coalesce(1).write.parquet(folder)
-    stream = spark.readStream.schema(commands(spark, d).schema).parquet(folder).join(offsets, ["group", "topic", "seq"], "left")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
     out = streams.replay_stream(stream, lease_ms=30_000, most=3)
     out.writeStream.format("parquet").option("path", found).option("checkpointLocation", _fresh(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(found)

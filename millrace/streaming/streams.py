@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.operators.groups import REPLAY, GroupFold
+from millrace.operators.groups import REPLAY, GroupFold, apply_all
 from millrace.operators.log import assign_offsets, read_from
 from millrace.schema import LEASE_MS, MAX_DELIVERIES
 
@@ -133,29 +136,35 @@ def drain(stream: DataFrame, keys: list[str], folder: str, checkpoint: str) -> D
     return last.select("_row.*")
 
 
-def replay_stream(commands: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES) -> DataFrame:
-    """groups.replay() of a stream of commands; the first row of a group and topic carries
-    topic_offsets, as of groups.reachable_offsets(); on others it is null.
+def replay_stream(commands: DataFrame, lease_ms: int = LEASE_MS, most: int = MAX_DELIVERIES, batch: int = 10_000) -> DataFrame:
+    """groups.replay() of a stream of commands and of the offsets that they can reach, as groups.with_reachable() has them;
+    offsets must not come in a later micro-batch than commands that reach them.
 
-    The state of a group and topic is GroupFold's with those offsets, as JSON. Commands of one micro-batch are
+    The state of a group and topic is GroupFold's, as JSON, and its offsets, packed. Commands of one micro-batch are
     applied in order of seq; a stream must not deliver a command after a later one of its group.
     """
+    carried = ["seq", "at_ms", "group", "topic", "consumer", "op", "n", "offset"]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        kept = json.loads(state.get[0]) if state.exists else {}
-        given = rows["topic_offsets"].dropna()
-        offsets = kept.pop("offsets", None) or ([int(x) for x in given.iloc[0]] if len(given) else [])
-        group = GroupFold(offsets, lease_ms, most)
+        kept, packed = state.get if state.exists else (None, None)
+        offsets = [np.cumsum(np.frombuffer(zlib.decompress(packed), "int64"))] if packed else []
+        parts = []
+        for rows in batches:
+            told = rows["offsets"].notna()
+            offsets += [np.asarray(x, "int64") for x in rows.loc[told, "offsets"]]
+            parts.append(rows.loc[~told, carried])
+        offsets = np.unique(np.concatenate(offsets)) if offsets else np.zeros(0, "int64")
+        group = GroupFold(array("q", offsets.tobytes()), lease_ms, most)
         if kept:
+            kept = json.loads(kept)
             kept["leases"] = {k: tuple(v) for k, v in kept["leases"].items()}
             kept["ranges"] = [tuple(x) for x in kept["ranges"]]
             kept["attempts"] = {int(k): v for k, v in kept["attempts"].items()}
             group.restore(kept)
-        whole = lambda x: None if pd.isna(x) else int(x)
-        out = [{"seq": r.seq, "group": r.group, "topic": r.topic, "op": r.op} | group.apply(int(r.at_ms), r.consumer, r.op, whole(r.n), whole(r.offset)) for r in rows.itertuples(index=False)]
-        state.update((json.dumps(group.state() | {"offsets": offsets}),))
-        found = pd.DataFrame(out)
-        yield found.astype({"delivered_from": "Int64", "delivered_to": "Int64"})
+        parts = pd.concat(parts, ignore_index=True)
+        order = np.argsort(parts["seq"].to_numpy(), kind="stable")
+        for at in range(0, len(order), batch):
+            yield apply_all(group, parts.take(order[at : at + batch]))
+        state.update((json.dumps(group.state()), zlib.compress(np.diff(offsets, prepend=0).tobytes(), 1)))
 
-    return commands.groupBy("group", "topic").applyInPandasWithState(fold, REPLAY, "fold string", "append", GroupStateTimeout.NoTimeout)
+    return commands.groupBy("group", "topic").applyInPandasWithState(fold, REPLAY, "fold string, offsets binary", "append", GroupStateTimeout.NoTimeout)

@@ -188,3 +188,96 @@ def test_commits_without_members_overwrite_what_is_stored():
     expired.apply(0, "a", "acquire", 2, None)
     expired.apply(50, None, "expire", None, None)
     assert expired.apply(51, "a", "commit", None, 4)["committed"] == 4 and expired.dispatch == 0
+
+
+class PlainFold(GroupFold):
+    """Goes through all ranges and attempts at each command."""
+
+    def _advance(self):
+        at, left = self.committed, []
+        for low, high in sorted(self.ranges):
+            if not left and low <= at:
+                at = max(at, high)
+            else:
+                left.append((low, high))
+        if at > self.committed:
+            self.committed = self.stored = at
+        self.ranges = left
+
+    def _forget(self, low, high):
+        self.attempts = {o: n for o, n in self.attempts.items() if not low <= o < high}
+
+    def _failed(self, offset):
+        self.attempts = self.attempts | {offset: self.attempts.get(offset, 0) + 1}
+        return self.attempts[offset] >= self.most
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from("ABC"), st.sampled_from(["acquire", "commit", "nack", "expire"]), st.integers(1, 4), st.integers(0, 60)), max_size=80), st.integers(1, 4))
+def test_waiting_ranges_and_attempts_as_if_all_were_gone_through(steps, most):
+    f, plain, at = GroupFold(list(range(0, 60, 3)), 5, most), PlainFold(list(range(0, 60, 3)), 5, most), 0
+    for later, who, op, n, offset in steps:
+        at += later
+        assert f.apply(at, who, op, n, offset) == plain.apply(at, who, op, n, offset)
+        f = GroupFold(f.offsets).restore(f.state())
+        assert sorted(f.ranges) == sorted(plain.ranges) and f.attempts == plain.attempts
+
+
+def test_a_command_costs_the_same_however_much_waits():
+    import time
+
+    f, began = GroupFold([0, *range(10, 200_000)], lease_ms=10**9, most=5), time.process_time()
+    f.apply(0, "first", "acquire", 1, None)
+    for k in range(40_000):
+        to = f.apply(k, "A", "acquire", 2, None)["delivered_to"]
+        f.apply(k, "A", "commit", None, to - 1)
+        f.apply(k, "B", "nack", None, 200_000 + k)
+    assert len(f.ranges) == 40_000 == len(f.attempts) and f.committed == 0
+    assert time.process_time() - began < 10
+
+
+def test_reach_of_great_acquires_ends_with_the_topic(spark):
+    """An acquire may ask for any number, from many places: the spans are as long as the topic, and each chunk comes once."""
+    commands = [(k, k, "g", "t", "A", "nack" if k % 2 else "acquire", None if k % 2 else 2**31 - 1, k if k % 2 else None) for k in range(2000)]
+    df = spark.createDataFrame(commands, "seq long, at_ms long, group string, topic string, consumer string, op string, n int, offset long")
+    found = groups.reachable_offsets(df, spark.createDataFrame([("t", o) for o in range(3000)], "topic string, offset long")).collect()
+    assert sorted(o for r in found for o in r.offsets) == list(range(3000))
+
+
+def test_reachable_chunks_hold_what_a_group_can_reach_once(spark):
+    import random
+
+    r = random.Random(6)
+    offsets = {t: sorted(r.sample(range(4000), 700)) for t in "tu"}
+    commands = [(k, k, g, t, "A", op, n, o) for k, (g, t, op, n, o) in enumerate([
+        ("g", "t", "commit", None, 900), ("g", "t", "acquire", 20, None), ("g", "t", "commit", None, 2000), ("g", "t", "nack", None, 2500), ("g", "t", "nack", None, 2503), ("g", "t", "nack", None, 3999),
+        ("h", "t", "commit", None, 3000), ("h", "u", "acquire", 7, None), ("h", "u", "nack", None, -5), ("h", "u", "acquire", -3, None), ("h", "v", "acquire", 5, None),
+    ])]
+    df = spark.createDataFrame(commands, "seq long, at_ms long, group string, topic string, consumer string, op string, n int, offset long")
+    messages = spark.createDataFrame([(t, o) for t in offsets for o in offsets[t]], "topic string, offset long")
+    found = {}
+    for row in groups.reachable_offsets(df, messages, width=16).collect():
+        found.setdefault((row.group, row.topic), []).extend(row.offsets)
+    wanted = {("g", "t"): ([0, 900, 2500, 2503, 3999], 20), ("h", "t"): ([0, 3000], 0), ("h", "u"): ([0], 7)}
+    assert found.keys() == wanted.keys()
+    for key, (starts, takes) in wanted.items():
+        reached = {o for s in starts for o in [o for o in offsets[key[1]] if o >= s][:takes]}
+        assert reached <= set(found[key]) <= set(offsets[key[1]]) and len(found[key]) == len(set(found[key])) < 300
+
+
+def test_stream_keeps_its_state_from_batch_to_batch(spark, tmp_path):
+    from millrace.streaming import streams
+
+    commands = [(k, k * 10, "g", "t", "AB"[k % 2], ["acquire", "commit", "nack", "expire", "acquire"][k % 5], 3, k) for k in range(60)]
+    df = spark.createDataFrame(commands, "seq long, at_ms long, group string, topic string, consumer string, op string, n int, offset long")
+    rows = groups.with_reachable(df, spark.createDataFrame([("t", o) for o in range(0, 90, 2)], "topic string, offset long")).cache()
+    for part in ("offsets is not null", "seq < 25 and offsets is null", "seq >= 25 and offsets is null"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = streams.replay_stream(stream, lease_ms=100, most=2, batch=7)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    fold = GroupFold(list(range(0, 90, 2)), 100, 2)
+    found = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
+    for row, (_, at, _, _, who, op, n, offset) in zip(found, commands, strict=True):
+        want = fold.apply(at, who, op, n, offset)
+        assert {k: row[k] for k in want} == want
