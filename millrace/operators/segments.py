@@ -193,9 +193,10 @@ def _by_run(keys: list[str], fold):
     return run
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
+def _in_order(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str, partitions: int | None = None) -> DataFrame:
     """fold(key, batches) for each key, with its rows in order, batch by batch."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_by_run(keys, fold), schema)
+    dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(_by_run(keys, fold), schema)
 
 
 def producer_batches(messages: DataFrame, most_bytes: int, linger_ms: int) -> DataFrame:
